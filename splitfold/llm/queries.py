@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.llm import langid, toxicity
+from splitfold.llm import langid, quality, toxicity
 from splitfold.llm.common import documents, fold
 
 
@@ -17,6 +17,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
@@ -24,7 +29,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
+    return {"op3_quality_rules": op3_quality_rules, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
