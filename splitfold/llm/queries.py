@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.llm import langid, mixing, quality, toxicity
+from splitfold.llm import langid, mixing, packing, quality, toxicity
 from splitfold.llm.common import documents, fold
 
 
@@ -26,6 +26,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
@@ -33,7 +37,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op7_mixing": op7_mixing, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
+    return {"op3_quality_rules": op3_quality_rules, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
