@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.llm import langid, mixing, packing, quality, toxicity
+from splitfold.llm import chunkdedup, embed_dedup, langid, mixing, packing, quality, toxicity
 from splitfold.llm.common import documents, fold
 
 
@@ -22,6 +22,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.dedup_summary(documents(spark, sf_dir))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,7 +45,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
+    found = [op3_quality_rules, op4_chunk_dedup, op5_embedding_dedup, op7_mixing, op8_packing, op9_toxicity, op10_language_id]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
