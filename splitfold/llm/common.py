@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,15 @@ def bounded_sample(rows: DataFrame, key: str, stratum: str, per_stratum: int, se
         return rows.limit(0)
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_stratum / n))])
     return rows.where(uniform(F.col(key), seed=seed) < rate[F.col(stratum)])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weighted logistic regression with intercept by Newton's method."""
+    x, b = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), x.T @ (w * (y - p)) - ridge * b)
+        b += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return b

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from splitfold.llm.common import bounded_sample, fold
+from splitfold.llm.common import bounded_sample, fold, logistic
 
 WORD = re.compile(r"[^\W\d_]+")
 Z, DRIFT, PRIOR = 1.64, 1.0, 50.0
@@ -130,25 +130,15 @@ def scan(docs: DataFrame, keep: list[str], scores: dict[str, float]) -> DataFram
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weighted logistic regression with intercept by Newton's method."""
-    x, b = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), x.T @ (w * (y - p)) - ridge * b)
-        b += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return b
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> dict | None:
     """Word scores, calibration and weights; None if the training rows hold fewer than two classes."""
-    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label")).distinct(), "doc_id")
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    sample = bounded_sample(rows, "doc_id", "label", per_class).cache()
+    # the sample's ids are about 2 * per_class at most, so they can go to every task instead of all texts to the labels
+    chosen = F.broadcast(bounded_sample(known, "doc_id", "label", per_class))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text").cache()
     scores = word_scores(sample)
     seen = [(r[0], r[1], [(x[0], x[1], x[2]) for x in r[2]]) for r in scan(sample, ["label"], scores).collect()]
     sample.unpersist()
