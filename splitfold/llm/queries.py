@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.llm import chunkdedup, embed_dedup, langid, mixing, packing, quality, toxicity
+from splitfold.llm import chunkdedup, embed_dedup, langid, mixing, packing, pii, quality, toxicity
 from splitfold.llm.common import documents, fold
 
 
@@ -30,6 +30,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,7 +49,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_quality_rules, op4_chunk_dedup, op5_embedding_dedup, op7_mixing, op8_packing, op9_toxicity, op10_language_id]
+    found = [op3_quality_rules, op4_chunk_dedup, op5_embedding_dedup, op6_pii, op7_mixing, op8_packing, op9_toxicity, op10_language_id]
     return {f.__name__: f for f in found}
 
 
