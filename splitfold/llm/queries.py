@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.llm import chunkdedup, embed_dedup, langid, minhash, mixing, packing, pii, quality, toxicity
+from splitfold.llm import chunkdedup, embed_dedup, langid, linededup, minhash, mixing, packing, pii, quality, toxicity
 from splitfold.llm.common import documents, fold
 
 
@@ -21,6 +21,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), ngram=2)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summary(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -53,7 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op3_quality_rules, op4_chunk_dedup, op5_embedding_dedup, op6_pii, op7_mixing, op8_packing, op9_toxicity, op10_language_id]
+    found = [op1_minhash_dedup, op2_line_dedup, op3_quality_rules, op4_chunk_dedup, op5_embedding_dedup, op6_pii, op7_mixing, op8_packing, op9_toxicity, op10_language_id]
     return {f.__name__: f for f in found}
 
 
