@@ -36,7 +36,7 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     """Where chunks end (exclusive) in an array of bytes; the text's end included."""
     g, h = GEAR[data], np.zeros(len(data), np.uint8)
     for k in range(BITS):
-        h[k:] += g[: len(g) - k if k else len(g)] << k
+        h[k:] += g[: max(len(g) - k, 0)] << k
     ends = np.flatnonzero((h & ((1 << BITS) - 1)) == 0) + 1
     ends = np.unique(np.append(ends, len(data)))
     long = np.flatnonzero(np.diff(ends, prepend=0) > MAX_CHUNK)
