@@ -55,7 +55,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode("utf-8", "replace")
                 ends = chunk_ends(np.frombuffer(raw, np.uint8)).tolist() if raw else []
-                rows.append([xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+                rows.append([xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip([0, *ends], ends, strict=False)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n", "digests"])
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("n", "integer").add("digests", ArrayType(docs.sparkSession.range(0).schema["id"].dataType)))
