@@ -165,5 +165,5 @@ def identify(docs: DataFrame, trees: Trees | None, keep: list[str]) -> DataFrame
 def accepted(docs: DataFrame, trees: Trees | None, max_bits_per_byte: float = 6.0) -> DataFrame:
     """The documents, all columns as they are, that are in one of the languages: a language was found, and its code
     takes at most max_bits_per_byte, which running text never needs and text of no known language exceeds."""
-    found = identify(docs, trees, docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= max_bits_per_byte)).select(*docs.columns)
+    found = identify(docs.select(F.struct(*docs.columns).alias("__row"), "text"), trees, ["__row"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= max_bits_per_byte)).select("__row.*")

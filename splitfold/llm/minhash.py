@@ -168,17 +168,23 @@ def by_block(rows: DataFrame, columns: list[str], body, schema: str) -> DataFram
 
 
 def crossing(label: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], opened: np.ndarray, token: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of candidate pairs in a block, open side first: other label, fitting size, MATCHES collisions."""
+    """Indices of candidate pairs in a block, open side first: other label, fitting size, MATCHES collisions.
+
+    Of the lists that both are in, a pair is a candidate in that of the rarest token they share, and in no other.
+    """
     sig = np.full((len(label), COORDINATES), -1, np.int64)
     sig[:, :] = -1 - np.arange(len(label))[:, None]  # tokens of one document alone match nothing
+    place = np.full((len(label), COORDINATES), COORDINATES)
     for r, t in enumerate(tokens):
         sig[r, t >> 32] = t
+        place[r, t >> 32] = np.arange(len(t))
     left, right = np.flatnonzero(opened), np.flatnonzero(~opened)
     a, b = [], []
     for x in left:
         fit = (label[right] != label[x]) & (100 * n[right] >= percent * n[x]) & (100 * n[x] >= percent * n[right])
         near = right[fit]
-        near = near[(sig[near] == sig[x]).sum(1) >= MATCHES]
+        same = sig[near] == sig[x]
+        near = near[(same.sum(1) >= MATCHES) & (np.where(same, place[x], COORDINATES).argmin(1) == token >> 32)]
         a.append(np.full(len(near), x))
         b.append(near)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))

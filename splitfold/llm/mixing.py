@@ -108,7 +108,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     by a space, epochs by a line break. Rows with the same id and size hold their words in any order among them.
     """
     places = written(placed(docs), "mixing-places")
-    parts = pieces(places, ["doc_id", "size", "start"]).groupBy("doc_id", "size", "start").agg(F.sort_array(F.collect_list(F.when(F.col("drawn"), F.struct("epoch", "from", "words")))).alias("__parts"))
+    parts = pieces(places, ["doc_id", "size", "start"]).groupBy("doc_id", "size", "start").agg(F.sort_array(F.collect_list(F.when(F.col("drawn"), F.struct("epoch", "from", "words")))).alias("__parts")).where(F.size("__parts") > 0)
     same_size = W.partitionBy("doc_id", "size")
     parts = parts.withColumn("__nth", F.row_number().over(same_size.orderBy("start"))).drop("start")
     rows = docs.withColumn("__size", n_words("text")).where("__size > 0").withColumn("__nth", F.row_number().over(W.partitionBy("doc_id", "__size").orderBy("text")))

@@ -15,11 +15,14 @@ other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,43 +32,77 @@ WINDOW, END, SHARD_TOKENS = 4096, 2, 1_000_000
 K1, B = 1.2, 0.75
 #: Query terms in more of the corpus than this share are left out of retrieval; BM25 gives them next to no weight.
 COMMON = 1 / 8
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+#: Entries of either cache, the longest word in it, and texts encoded at a time.
+CACHE, CACHE_LENGTH, TEXTS = 400_000, 64, 500
+#: Fixed value: how the tokenizer's file splits text.
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def lowered(word: str) -> str:
+    """As the tokenizer does it: letter by letter, whatever stands beside them."""
+    return word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+
+
 class Encoder:
-    """Texts to the bytes of their 16-bit ids, with a bounded cache of words."""
+    """Texts to the bytes of their 16-bit ids.
+
+    Words between blanks and their parts (the pattern by which the tokenizer itself splits) are kept in bounded caches,
+    the most frequent ones as they come first. New parts are encoded in one call; each ends with the one id that ends a
+    word. Words with special tokens or characters that aren't printable go to the tokenizer as they are.
+    """
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(file), {}
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        self.tokenizer = Tokenizer.from_file(file)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids have to fit 16 bits")
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        cache, words = self.cache, text.split(" ") if "\t" not in text and "\n" not in text else text.replace("\t", " ").replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set(words))
-        short = [w for w in new if len(w) <= CACHE_LENGTH]
-        for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, np.uint16).tobytes()
-        once = {w: self.ids(w) for w in new if len(w) > CACHE_LENGTH}
-        return b"".join([cache[w] if w in cache else once[w] for w in words])
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        ids = self.ids(" ".join(parts))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):
+            return {p: self.ids(p).tobytes() for p in parts}
+        raw, cuts = ids.tobytes(), [0, *(2 * cuts).tolist()]
+        return {p: raw[i:j] for p, i, j in zip(parts, cuts, cuts[1:], strict=False)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        words, parts = self.words, self.parts
+        new = {w for x in split for w in x if w not in words}
+        plain = {w: PART.findall(lowered(w)) for w in new if w.isprintable() and "<|" not in w}
+        fresh = self.encode_parts(list({p for x in plain.values() for p in x if p not in parts}))
+        found = {w: b"".join([parts[p] if p in parts else fresh[p] for p in plain[w]]) if w in plain else self.ids(w).tobytes() for w in new}
+        out = [b"".join([words[w] if w in words else found[w] for w in x]) for x in split]
+        for cache, more in ((parts, fresh), (words, found)):
+            if len(cache) < CACHE:
+                cache.update((w, x) for w, x in more.items() if len(w) <= CACHE_LENGTH)
+        return out
+
+
+@functools.lru_cache(1)
+def encoder_of(file: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its caches last."""
+    return Encoder(file)
 
 
 def tokenized(docs: DataFrame, file: str) -> DataFrame:
     """(doc_id, n, ids): the ids, with the end id, as little-endian 16-bit bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(file), np.array([END], np.uint16).tobytes()
+        encoder, end = encoder_of(file), np.array([END], np.uint16).tobytes()
         for batch in batches:
-            ids = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = [x + end for at in range(0, len(texts), TEXTS) for x in encoder.encode(texts[at : at + TEXTS])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
