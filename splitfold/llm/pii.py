@@ -29,7 +29,7 @@ from splitfold.llm.common import logistic
 # A match can only begin where a run of its first characters begins, or where the match before it ended (\G). Starting
 # nowhere else changes no match and keeps long runs linear.
 LOCAL = r"[A-Za-z0-9._%+-]"
-EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 # In a text whose separators that don't stand between two digits are masked, a card is digits and separators.
 LOOSE_SEPARATOR = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"

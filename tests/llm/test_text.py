@@ -58,6 +58,7 @@ def test_pii_base_spans(make, awkward):
         "1.2.3.4.5.6.7.8 001.002.003.004 1.2.3.4444444444444444444 0.0.0.0",
         "1 2 3 4 5 6 " * 4000 + "x" * 60_000 + "@ a@b.c",
         "- 4111 - 1111 -1111- 1111 0000000000000000",
+        "a@b" + ".c" * 20_000,
     ]
     texts = [*awkward, *tricky]
     rows = {r["doc_id"]: r for r in pii.summary(make(texts)).collect()}
