@@ -19,6 +19,7 @@ import functools
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,18 +76,30 @@ class Encoder:
         raw, cuts = ids.tobytes(), [0, *(2 * cuts).tolist()]
         return {p: raw[i:j] for p, i, j in zip(parts, cuts, cuts[1:], strict=False)}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        words, parts = self.words, self.parts
-        new = {w for x in split for w in x if w not in words}
-        plain = {w: PART.findall(lowered(w)) for w in new if w.isprintable() and "<|" not in w}
-        fresh = self.encode_parts(list({p for x in plain.values() for p in x if p not in parts}))
-        found = {w: b"".join([parts[p] if p in parts else fresh[p] for p in plain[w]]) if w in plain else self.ids(w).tobytes() for w in new}
-        out = [b"".join([words[w] if w in words else found[w] for w in x]) for x in split]
-        for cache, more in ((parts, fresh), (words, found)):
+    def encode_words(self, new: set[str]) -> dict[str, bytes]:
+        """Words that aren't in the cache. ASCII letters alone are one part, so they need no pattern."""
+        parts = self.parts
+        whole = {w: w.lower() for w in new if w.isascii() and w.isalpha()}
+        split = {w: PART.findall(lowered(w)) for w in new if w not in whole and w.isprintable() and "<|" not in w}
+        wanted = {*whole.values(), *chain.from_iterable(split.values())}
+        fresh = self.encode_parts([p for p in wanted if p not in parts])
+        known = {p: parts[p] if p in parts else fresh[p] for p in wanted}
+        found = {w: known[p] for w, p in whole.items()} | {w: b"".join([known[p] for p in x]) for w, x in split.items()}
+        found |= {w: self.ids(w).tobytes() for w in new if w not in found}
+        for cache, more in ((parts, fresh), (self.words, found)):
             if len(cache) < CACHE:
                 cache.update((w, x) for w, x in more.items() if len(w) <= CACHE_LENGTH)
-        return out
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        flat = list(chain.from_iterable(split))
+        known = list(map(self.words.get, flat))
+        if new := {w for w, x in zip(flat, known, strict=True) if x is None}:
+            found = self.encode_words(new)
+            known = [found[w] if x is None else x for w, x in zip(flat, known, strict=True)]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(known[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
 
 @functools.lru_cache(1)
