@@ -106,6 +106,18 @@ def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, blo
     assert got == {i: want[i] for i in range(len(texts))}
 
 
+@pytest.mark.parametrize(("limit", "block"), [(8, 4096), (1, 4096), (2, 3)])
+def test_copies_around_a_near_copy_keep_the_first(make, text_of, monkeypatch, limit, block):
+    monkeypatch.setattr(linededup, "LIMIT", limit)
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    lines = [text_of(k, 20) for k in range(8)]
+    near = [" ".join([*x.split()[:-1], f"new{k}"]) for k, x in enumerate(lines)]
+    texts = [f"{x}\n{text_of(90, 15)}" for turn in (lines, near, lines, near, lines) for x in turn]
+    want = line_brute(texts)
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.summary(make(texts, parts=16)).collect()}
+    assert got == {i: want[i] for i in range(len(texts))} and [got[i] for i in range(8)] == [0] + [1] * 7
+
+
 def test_deduplicated_documents(make):
     a, b = "one two three four five six", "some other line that stays whole"
     out = {r["doc_id"]: r for r in linededup.deduplicated(make([a, f"{a}\n{b}\nshort", a, None, ""])).collect()}
