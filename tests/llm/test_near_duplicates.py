@@ -118,6 +118,12 @@ def test_copies_around_a_near_copy_keep_the_first(make, text_of, monkeypatch, li
     assert got == {i: want[i] for i in range(len(texts))} and [got[i] for i in range(8)] == [0] + [1] * 7
 
 
+def test_short_lines_take_part(make):
+    texts = ["All rights reserved\none two three four\na\n\n \t", "all RIGHTS reserved\nfive one two three four\nA a a a a a\n\n", "rights reserved\none two three five\nb\na b", None, ""]
+    out = {r["doc_id"]: r for r in linededup.summary(make(texts)).collect()}
+    assert {i: (r["n_lines"], r["n_removed"]) for i, r in out.items()} == {0: (3, 0), 1: (3, 3), 2: (4, 1), 3: (0, 0), 4: (0, 0)}
+
+
 def test_deduplicated_documents(make):
     a, b = "one two three four five six", "some other line that stays whole"
     out = {r["doc_id"]: r for r in linededup.deduplicated(make([a, f"{a}\n{b}\nshort", a, None, ""])).collect()}
