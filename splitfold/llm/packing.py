@@ -1,8 +1,11 @@
 """Lexical retrieval packing into fixed windows.
 
 Every text is tokenized once (whole; words are cached, which is exact as this tokenizer never joins across white space)
-and kept as 16-bit ids with an end id. Documents are dealt by hash to shards of about ``SHARD_TOKENS`` tokens, so the
-number of shards follows the corpus and a shard always fits a task. A shard has a BM25 inverted index over token ids,
+and kept as 16-bit ids with an end id. Documents are dealt by lexical affinity to shards of about ``SHARD_TOKENS``
+tokens, so the number of shards follows the corpus and a shard always fits a task: they are ordered by their three rarest
+ids that another document holds too (rarest first, over the whole corpus), then by a hash of doc_id, and this order is
+cut by tokens. So near copies and documents that share rare terms lie together, however large the corpus; neighbours
+are searched inside a shard, and one that shares none of the rarest terms can lie in another. A shard has a BM25 inverted index over token ids,
 with document frequencies and mean length of the whole corpus (one number for each entry of the vocabulary). A window
 starts with a seed, the rest of the document cut last or else the first unused one, asks the index for the seed's
 unused neighbours and takes them by score until it is full; the last is cut and its rest is the next seed. So only the
@@ -26,10 +29,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from splitfold.llm.common import written
 
-WINDOW, END, SHARD_TOKENS = 4096, 2, 1_000_000
+WINDOW, END, SHARD_TOKENS, NO_RANK = 4096, 2, 1_000_000, (1 << 16) - 1
 K1, B = 1.2, 0.75
 #: Query terms in more of the corpus than this share are left out of retrieval; BM25 gives them next to no weight.
 COMMON = 1 / 8
@@ -138,6 +142,73 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     return df
 
 
+def affinity_ranks(df: np.ndarray) -> np.ndarray:
+    """A rank for each id that two documents or more hold, 0 for the rarest; NO_RANK for the others."""
+    rank, shared = np.full(1 << 16, NO_RANK, np.uint16), np.flatnonzero(df > 1)
+    rank[shared[np.argsort(df[shared], kind="stable")]] = np.minimum(np.arange(len(shared)), NO_RANK)
+    return rank
+
+
+def affinity_keys(texts: pa.Array, low: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The three least ranks of each text's ids and 16 further bits as one signed number, in the order of all four."""
+    digits = np.full((len(texts), 4), NO_RANK, np.uint64)
+    for i, ids in enumerate(texts):
+        least = np.unique(rank[np.frombuffer(ids.as_buffer(), np.uint16)])[:3]
+        digits[i, : len(least)] = least
+    digits[:, 3] = low
+    key = (digits << np.array([48, 32, 16, 0], np.uint64)).sum(axis=1, dtype=np.uint64)
+    return (key ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def shard_starts(keys: DataFrame, size: int) -> np.ndarray:
+    """The least keys of shards of about size tokens, in order, from (key, n).
+
+    Tokens are summed by the first 16 bits of the key, and by 16 more where a sum is above a quarter of a shard. Only
+    the vocabulary's sums and a few numbers for each shard come to the driver.
+    """
+    sums = keys.groupBy(F.shiftright("key", 48).alias("part")).agg(F.sum("n").alias("n")).collect()
+    part, n = np.array(sorted((r["part"], r["n"]) for r in sums), np.int64).reshape(-1, 2).T
+    start = np.cumsum(n) - n
+    least: dict[int, int] = {}
+    for p, at in zip(part.tolist(), start.tolist(), strict=True):
+        least.setdefault(at // size, p << 48)
+    above = [(p, at) for p, at, k in zip(part.tolist(), start.tolist(), n.tolist(), strict=True) if 4 * k > size]
+    for bits in (32, 16, 0):
+        if not above:
+            break
+        parents = F.broadcast(keys.sparkSession.createDataFrame(above, "parent long, base long"))
+        rows = keys.select(F.shiftright("key", bits).alias("part"), F.shiftright("key", bits + 16).alias("parent"), "n")
+        rows = rows.join(parents, "parent").groupBy("parent", "base", "part").agg(F.sum("n").alias("n"))
+        before = F.sum("n").over(W.partitionBy("parent").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+        level = written(rows.select("part", "n", (F.col("base") + F.coalesce(before, F.lit(0))).alias("start")), "packing-level")
+        for r in level.groupBy(F.floor(F.col("start") / size).alias("shard")).agg(F.min("part").alias("part")).collect():
+            least[r["shard"]] = min(r["part"] << bits, least.get(r["shard"], r["part"] << bits))
+        above = [(r["part"], r["start"]) for r in level.where(4 * F.col("n") > size).select("part", "start").collect()]
+    return np.array(sorted(least.values()), np.int64)
+
+
+def dealt(tokens: DataFrame, df: np.ndarray) -> DataFrame:
+    """The tokens with the number of their shard."""
+    ranks = tokens.sparkSession.sparkContext.broadcast(affinity_ranks(df))
+    rows = tokens.withColumn("low", F.xxhash64("doc_id").bitwiseAND(0xFFFF))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = affinity_keys(batch.column(1), batch.column(2).to_numpy(), ranks.value)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], names=["key", "n"])
+
+    keys = written(rows.select("n", "ids", "low").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "packing-keys")
+    starts = tokens.sparkSession.sparkContext.broadcast(shard_starts(keys, SHARD_TOKENS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = affinity_keys(batch.column(2), batch.column(3).to_numpy(), ranks.value)
+            shard = np.searchsorted(starts.value, key, "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shard, pa.int64())], names=["doc_id", "n", "ids", "shard"])
+
+    return rows.select("doc_id", "n", "ids", "low").mapInArrow(run, "doc_id long, n long, ids binary, shard long")
+
+
 class Index:
     """BM25 over a shard's documents."""
 
@@ -222,7 +293,6 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
     idf = np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
     idf[df > max(COMMON * count, 1)] = 0
     shared = docs.sparkSession.sparkContext.broadcast((idf, total / max(count, 1)))
-    shards = max(1, -(-total // SHARD_TOKENS))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -238,5 +308,4 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
                 k += 1
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, PIECES)
+    return dealt(tokens, df).groupBy("shard").applyInArrow(run, PIECES)

@@ -160,6 +160,23 @@ def test_packing_round_trip(make, text_of, awkward):
     assert packing.pack(make(["x"]).limit(0)).count() == 0
 
 
+def test_near_copies_lie_in_one_shard(make, text_of, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 3000)
+    rnd, texts = np.random.default_rng(3), [" ".join(f"{w}{k % 7}" for w in text_of(k, 100).split()) + f" code {k * 7919} {k * 104729}" for k in range(60)]
+    for t in texts[:60]:
+        words = t.split()
+        words[rnd.integers(len(words) - 3)] = "changed"
+        texts.append(" ".join(words))
+    texts += ["the same text in many documents"] * 900
+    shard, tokens = {}, Counter()
+    for r in packing.pack(make(texts)).collect():
+        shard.setdefault(r["doc_id"], r["sequence_id"] >> 32)
+        assert shard[r["doc_id"]] == r["sequence_id"] >> 32
+        tokens[shard[r["doc_id"]]] += r["length"]
+    assert len(shard) == len(texts) and len(tokens) >= 8 and max(tokens.values()) <= 2 * 3000
+    assert sum(shard[k] == shard[60 + k] for k in range(60)) >= 50
+
+
 def test_neighbours_are_bm25(text_of):
     docs = [np.array([1, 2, 3, 4]), np.array([9, 9, 8, 7]), np.array([3, 4, 5, 6]), np.array([1, 2, 3, 9])]
     df = np.zeros(1 << 16)
