@@ -35,7 +35,8 @@ from splitfold.llm.common import written
 
 WINDOW, END, SHARD_TOKENS, NO_RANK = 4096, 2, 1_000_000, (1 << 16) - 1
 K1, B = 1.2, 0.75
-#: Query terms in more of the corpus than this share are left out of retrieval; BM25 gives them next to no weight.
+#: Terms in more of a shard's documents than this share have a row of weights for all of them instead of a posting list;
+#: so the rows hold at most 1 / COMMON numbers for each posting. No term is left out of retrieval.
 COMMON = 1 / 8
 #: Entries of either cache, the longest word in it, and texts encoded at a time.
 CACHE, CACHE_LENGTH, TEXTS = 400_000, 64, 500
@@ -217,7 +218,6 @@ class Index:
         doc, term, weight = [], [], []
         for i, ids in enumerate(docs):
             t, tf = np.unique(ids, return_counts=True)
-            t, tf = t[idf[t] > 0], tf[idf[t] > 0]
             self.terms.append(t)
             doc.append(np.full(len(t), i))
             term.append(t)
@@ -226,13 +226,19 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = np.concatenate(doc)[order], np.concatenate(weight)[order]
         self.starts = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        common = np.flatnonzero(np.diff(self.starts) > COMMON * self.n)
+        self.row, self.rows = np.full(1 << 16, -1), np.zeros((len(common), self.n))
+        self.row[common] = np.arange(len(common))
+        for k, t in enumerate(common.tolist()):
+            span = slice(self.starts[t], self.starts[t + 1])
+            self.rows[k, self.doc[span]] = self.weight[span]
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents by falling score for the seed's terms."""
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.terms[seed].tolist()]
-        if not spans:
-            return np.arange(self.n)
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        row = self.row[self.terms[seed]]
+        scores = self.rows[row[row >= 0]].sum(axis=0)
+        if spans := [slice(self.starts[t], self.starts[t + 1]) for t in self.terms[seed][row < 0].tolist()]:
+            scores += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         return np.argsort(-scores, kind="stable")
 
 
@@ -291,7 +297,6 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
     count, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens)
     idf = np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
-    idf[df > max(COMMON * count, 1)] = 0
     shared = docs.sparkSession.sparkContext.broadcast((idf, total / max(count, 1)))
 
     def run(table: pa.Table) -> pa.Table:

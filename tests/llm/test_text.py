@@ -177,6 +177,28 @@ def test_near_copies_lie_in_one_shard(make, text_of, monkeypatch):
     assert sum(shard[k] == shard[60 + k] for k in range(60)) >= 50
 
 
+def test_terms_of_many_documents_are_searched(make):
+    texts = [" ".join([("north wind", "south rain", "east snow")[k % 3]] * 750) for k in range(12)]
+    by_seq = {}
+    for r in packing.pack(make(texts)).collect():
+        by_seq.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+    assert set().union(*by_seq.values()) == set(range(12))
+    assert len(by_seq[0]) > 1 and len({d % 3 for d in by_seq[0]}) == 1
+
+
+def test_index_scores_rare_and_common_terms(text_of):
+    rnd = np.random.default_rng(6)
+    docs = [np.append(rnd.integers(10, 400, rnd.integers(5, 60)), [2] * (1 + k % 3) + [3] * (k % 2)) for k in range(50)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf = np.log1p((50 - df + 0.5) / (df + 0.5))
+    mean = sum(map(len, docs)) / 50
+    index = packing.Index(docs, idf, mean)
+    weight = lambda t, d: idf[t] * (d == t).sum() * 2.2 / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    for seed in (0, 7, 31):
+        scores = np.array([sum(weight(t, d) for t in np.unique(docs[seed])) for d in docs])
+        assert np.all(np.diff(scores[index.neighbours(seed)]) <= 1e-9)
+
+
 def test_neighbours_are_bm25(text_of):
     docs = [np.array([1, 2, 3, 4]), np.array([9, 9, 8, 7]), np.array([3, 4, 5, 6]), np.array([1, 2, 3, 9])]
     df = np.zeros(1 << 16)
