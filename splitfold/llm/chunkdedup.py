@@ -1,13 +1,16 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over a text's bytes, h = 2 h + gear[byte]; its low BITS bits depend on the last BITS bytes alone, and
-where they are all 0 a chunk ends. So chunks average 2^BITS bytes, and an insertion moves only the ends near it. Chunks
-are compared by a 64-bit digest over the whole corpus: the first place of a digest, by (doc_id, chunk), stays and later
-ones are repeats. A run of consecutive repeated chunks of at least ``MIN_CHARS`` characters is a repeated passage and
-is removed; shorter ones, which any two texts may share, stay.
+where they are all 0 a chunk ends. So chunks average 2^BITS bytes, and an insertion moves only the ends near it. What
+is compared over the whole corpus, by a 64-bit digest, are windows of consecutive chunks that cover ``MIN_CHARS``
+characters: from each chunk the shortest one that begins there, and to each chunk the shortest one that ends there. The
+first place of a digest, by (doc_id, first chunk, last chunk), stays and later ones are repeats. The chunks of repeats
+that overlap or adjoin are a repeated passage and are removed. So a chunk goes only as part of a sequence that an
+earlier place holds as it is, and each sequence of chunks that repeats and has ``MIN_CHARS`` characters goes whole;
+shorter ones, which any two texts may share, stay.
 
 The digests are counted by partial aggregation, so a passage that a third of all documents hold is one row from each
-task, and go back to the chunks by a join that splits large partitions. Only digests seen twice take part.
+task, and go back to the windows by a join that splits large partitions. Only digests seen twice take part.
 
 Defined results: null and empty texts have no chunk and nothing removed; of repeated rows one keeps its text, unless an
 id itself is repeated, whose rows are one place; text without a chunk end is one chunk, ended after ``MAX_CHUNK`` bytes
@@ -27,7 +30,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from splitfold.llm.common import written
 
-BITS, MAX_CHUNK, MIN_CHARS = 5, 1024, 100
+BITS, MAX_CHUNK, MIN_CHARS, TEXTS = 5, 1024, 100, 500
 #: One pseudorandom number for each byte value, from a rule.
 GEAR = np.random.default_rng(20240501).integers(0, 1 << BITS, 256, dtype=np.uint8)
 
@@ -46,33 +49,51 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return ends
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digests): the chunks' digests, in order, and their number."""
+def window_digests(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """First chunk, last chunk and digest of a text's windows. Characters are counted by their first bytes."""
+    data = np.frombuffer(raw, np.uint8)
+    ends = chunk_ends(data)
+    starts, at = np.append(0, ends[:-1]), np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    n, every, s, e = len(ends), np.arange(len(ends)), at[starts], at[ends]
+    to, since = np.searchsorted(e, s + MIN_CHARS), np.searchsorted(s, e - MIN_CHARS, "right") - 1
+    both = np.unique(np.append((every * n + to)[to < n], (since * n + every)[since >= 0]))
+    first, last = both // n, both % n
+    return first, last, [xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                raw = (text or "").encode("utf-8", "replace")
-                ends = chunk_ends(np.frombuffer(raw, np.uint8)).tolist() if raw else []
-                rows.append([xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip([0, *ends], ends, strict=False)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n", "digests"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("n", "integer").add("digests", ArrayType(docs.sparkSession.range(0).schema["id"].dataType)))
+def chunk_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, first, last, digest) of all windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch, row, first, last, digest = whole.slice(at, TEXTS), [], [], [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    if raw := (text or "").encode("utf-8", "replace"):
+                        f, t, d = window_digests(raw)
+                        row.append(np.full(len(f), i))
+                        first.append(f)
+                        last.append(t)
+                        digest += d
+                row, first, last = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (row, first, last))
+                columns = [batch.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(digest, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "first", "last", "digest"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("first", "integer").add("last", "integer").add("digest", "long"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, repeated): for each document with any, the ordinals of its chunks that an earlier place holds."""
-    chunks = written(chunked(docs).select("doc_id", F.posexplode("digests").alias("chunk", "digest")), "chunks")
-    place = F.struct("doc_id", "chunk")
+    """(doc_id, repeated): for each document with any, first and last chunk of its windows that an earlier place holds."""
+    windows = written(chunk_windows(docs), "chunks")
+    place = F.struct("doc_id", "first", "last")
     # the least and the greatest place differ exactly where there are two places
-    first = written(chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("digest", "first"), "chunk-firsts")
-    later = chunks.join(first, "digest").where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("chunk")).alias("repeated"))
+    seen = written(windows.groupBy("digest").agg(F.min(place).alias("least"), F.max(place).alias("greatest")).where("least != greatest").select("digest", "least"), "chunk-firsts")
+    later = windows.join(seen, "digest").where(place > F.col("least"))
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("repeated"))
 
 
 def passages(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, n_chunks, n_repeated, spans [start, end) in characters of the repeated passages, and the text without them."""
+    """keep, n_chunks, n_repeated (chunks in repeated windows), spans [start, end) in characters of the repeated passages, and the text without them."""
     found = repeats(docs)
     schema = docs.select(*keep).schema
     schema = schema.add("n_chunks", "long").add("n_repeated", "long").add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))).add("kept_text", "string")
@@ -88,12 +109,19 @@ def passages(docs: DataFrame, keep: list[str]) -> DataFrame:
     return joined.select(*keep, F.col("text").alias("__text"), "__repeated").mapInArrow(run, schema)
 
 
-def cut(text: str | None, repeated: list[int] | None) -> tuple[int, int, list[dict], str | None]:
+def cut(text: str | None, repeated: list[dict] | None) -> tuple[int, int, list[dict], str | None]:
     raw = (text or "").encode("utf-8", "replace")
     ends = chunk_ends(np.frombuffer(raw, np.uint8)) if raw else np.zeros(0, np.int64)
     if not repeated:
         return len(ends), 0, [], text
-    own = np.array([c for c in repeated if c < len(ends)])
+    edge = np.zeros(len(ends) + 1, np.int64)
+    for w in repeated:
+        if w["last"] < len(ends):
+            edge[w["first"]] += 1
+            edge[w["last"] + 1] -= 1
+    own = np.flatnonzero(np.cumsum(edge[:-1]))
+    if not len(own):
+        return len(ends), 0, [], text
     starts = np.append(0, ends[:-1])
     gaps = np.flatnonzero(np.diff(own) > 1) + 1
     spans = []

@@ -147,6 +147,16 @@ def test_chunks_catch_repeated_passages(make, text_of, awkward):
     assert rows[0]["kept_text"] is None and rows[1]["kept_text"] == "" and len(rows) == len(texts)
 
 
+def test_chunks_seen_apart_are_no_passage(make, text_of):
+    base = text_of(5, 400)
+    ends = chunkdedup.chunk_ends(np.frombuffer(base.encode(), np.uint8)).tolist()
+    chunks = [base[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    apart = "".join(random.Random(1).sample(chunks, len(chunks)))
+    rows = {r["doc_id"]: r for r in chunkdedup.passages(make([base, apart, base, f"new words {base[200:900]}"]), ["doc_id"]).collect()}
+    assert not rows[0]["spans"] and not rows[1]["spans"] and rows[1]["kept_text"] == apart
+    assert rows[2]["kept_text"] == "" and len(rows[3]["spans"]) == 1 and len(rows[3]["kept_text"]) < 150
+
+
 def test_chunk_ends_move_little():
     rnd = np.random.default_rng(4)
     data = rnd.integers(97, 123, 5000).astype(np.uint8)
