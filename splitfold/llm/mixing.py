@@ -7,9 +7,8 @@ is the level at which sum(min(CAP * size, level * weight)) is the whole.
 Blocks: a source's documents, laid end to end in a fixed order, are cut every ``BLOCK`` words. A source with n blocks
 fills t = target / size * n slots of the output: slot k holds block P(k mod n) of epoch k div n, where P is a
 pseudorandom permutation of 0..n-1 for each source and epoch (rounds of swap-or-not, which works for any n and needs
-no table). Each of a source's t slots goes to an output shard drawn uniformly, so that the shards' counts of a source
-are multinomial and a shard's counts of the sources are a multinomial draw from the target weights, given that all
-shards together meet them. Because P is inverted as cheaply as it is computed, the join of slots and blocks on (source,
+no table). So a source's count is fixed by its target and not drawn. ``pieces`` names a uniformly drawn output shard for
+each slot, but ``taken_words`` and ``mixed`` don't read it and no shards are made. Because P is inverted as cheaply as it is computed, the join of slots and blocks on (source,
 index) needs no shuffle: each block computes the slots that draw it.
 
 Positions come from sums over CHUNKS hash chunks of each source and running sums inside a chunk, so that a source with
