@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
+
+    The shuffle files of the query that writes it go as soon as it is written; ``dropped`` removes the table itself.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/splitfold/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+#: Where the tables of ``written`` lie, as long as somebody holds them.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of ``written``, after their last reader has been written itself."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

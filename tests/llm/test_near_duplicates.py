@@ -82,15 +82,16 @@ def line_brute(texts):
     for i, t in enumerate(texts):
         for line in (t or "").split("\n"):
             words = set(line.encode().lower().split())
-            if len(words) >= linededup.MIN_WORDS:
+            if words:
                 gone[i] += any(100 * len(words & s) >= 80 * len(words | s) for s in seen)
                 seen.append(words)
     return gone
 
 
-@pytest.mark.parametrize(("limit", "block"), [(8, 4096), (1, 4096), (2, 3)])
-def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, block):
+@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 1024, 8192), (1, 1024, 8192), (2, 2, 3)])
+def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, crowd, block):
     monkeypatch.setattr(linededup, "LIMIT", limit)
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     monkeypatch.setattr(linededup, "BLOCK", block)
     rnd, texts = random.Random(8), list(awkward)
     for _ in range(40):
@@ -106,9 +107,10 @@ def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, blo
     assert got == {i: want[i] for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("limit", "block"), [(8, 4096), (1, 4096), (2, 3)])
-def test_copies_around_a_near_copy_keep_the_first(make, text_of, monkeypatch, limit, block):
+@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 1024, 8192), (1, 1024, 8192), (2, 2, 3)])
+def test_copies_around_a_near_copy_keep_the_first(make, text_of, monkeypatch, limit, crowd, block):
     monkeypatch.setattr(linededup, "LIMIT", limit)
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     monkeypatch.setattr(linededup, "BLOCK", block)
     lines = [text_of(k, 20) for k in range(8)]
     near = [" ".join([*x.split()[:-1], f"new{k}"]) for k, x in enumerate(lines)]
@@ -124,6 +126,25 @@ def test_short_lines_take_part(make):
     assert {i: (r["n_lines"], r["n_removed"]) for i, r in out.items()} == {0: (3, 0), 1: (3, 3), 2: (4, 1), 3: (0, 0), 4: (0, 0)}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_lines_do_not_depend_on_partitions(make, text_of, parts):
+    a, b, c = text_of(1, 30), text_of(2, 12), text_of(3, 9)
+    near = " ".join([*a.split()[:-1], "new"])
+    texts = [a, f"{near}\n{b}", f"{a}\n{c}", f"{near}\n{c}\n{b}"]
+    assert {r["doc_id"]: r["n_removed"] for r in linededup.summary(make(texts, parts=parts)).collect()} == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    a, b = "one two three four five six", "some other line that stays"
+    rows = [(None, a), (None, a), (None, b), (1, f"{a}\n{b}"), (2, b), (2, f"{b}\n{a}"), (3, "x"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in linededup.deduplicated(docs).collect())
+    assert got == [(0, ""), (0, a), (0, a), (0, b), (3, "x")]
+    assert sorted(r["n_removed"] for r in linededup.summary(docs).collect()) == [0, 0, 0, 0, 0, 1, 2, 2]
+    empty = docs.limit(0)
+    assert linededup.summary(empty).collect() == [] and linededup.deduplicated(empty).collect() == []
+
+
 def test_deduplicated_documents(make):
     a, b = "one two three four five six", "some other line that stays whole"
     out = {r["doc_id"]: r for r in linededup.deduplicated(make([a, f"{a}\n{b}\nshort", a, None, ""])).collect()}
