@@ -88,7 +88,7 @@ def line_brute(texts):
     return gone
 
 
-@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 1024, 8192), (1, 1024, 8192), (2, 2, 3)])
+@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 16384, 16384), (1, 16384, 16384), (2, 2, 3)])
 def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, crowd, block):
     monkeypatch.setattr(linededup, "LIMIT", limit)
     monkeypatch.setattr(linededup, "CROWD", crowd)
@@ -107,7 +107,7 @@ def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, cro
     assert got == {i: want[i] for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 1024, 8192), (1, 1024, 8192), (2, 2, 3)])
+@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 16384, 16384), (1, 16384, 16384), (2, 2, 3)])
 def test_copies_around_a_near_copy_keep_the_first(make, text_of, monkeypatch, limit, crowd, block):
     monkeypatch.setattr(linededup, "LIMIT", limit)
     monkeypatch.setattr(linededup, "CROWD", crowd)
