@@ -1,19 +1,23 @@
 """Lexical retrieval packing into fixed windows.
 
-Every text is tokenized once (whole; words are cached, which is exact as this tokenizer never joins across white space)
-and kept as 16-bit ids with an end id. Documents are dealt by lexical affinity to shards of about ``SHARD_TOKENS``
-tokens, so the number of shards follows the corpus and a shard always fits a task: they are ordered by their three rarest
-ids that another document holds too (rarest first, over the whole corpus), then by a hash of doc_id, and this order is
-cut by tokens. So near copies and documents that share rare terms lie together, however large the corpus; neighbours
-are searched inside a shard, and one that shares none of the rarest terms can lie in another. A shard has a BM25 inverted index over token ids,
-with document frequencies and mean length of the whole corpus (one number for each entry of the vocabulary). A window
-starts with a seed, the rest of the document cut last or else the first unused one, asks the index for the seed's
-unused neighbours and takes them by score until it is full; the last is cut and its rest is the next seed. So only the
-shard's last window can be short, and that one is cut into powers of two, which need no padding.
-
-Defined results: null and empty texts are one end id; every row is packed, repeated rows each; an empty table gives no
-pieces; documents longer than a window fill as many as they need; ties in score go to the earlier document; columns
-other than the id and the text are ignored.
+Every text is tokenized once, whole. Words between blanks are found and hashed as arrays, and only words that a task
+hasn't met yet go to the tokenizer, which is exact as this tokenizer never joins across white space; 128 bits of hash tell
+words apart. Texts are kept as 16-bit ids with an end id.
+
+Documents are dealt by lexical affinity to shards of about ``SHARD_TOKENS`` tokens, so the number of shards follows the
+corpus and a shard always fits a task: they are ordered by their three rarest ids that another document holds too (rarest
+first, over the whole corpus), then by a hash of the row, and this order is cut by tokens; a run of equal keys that is
+larger than a shard is dealt to several by the hash. So near copies and documents that share rare terms lie together,
+however large the corpus; neighbours are searched inside a shard, and one that shares none of the rarest terms can lie in
+another. A shard has a BM25 inverted index over token ids, with document frequencies and mean length of the whole corpus
+(one number for each entry of the vocabulary). A window starts with a seed, the rest of the document cut last or else the
+first unused one, asks the index for the seed's unused neighbours and takes them by score until it is full; the last is
+cut and its rest is the next seed. So only the shard's last window can be short, and that one is cut into powers of two,
+which need no padding.
+
+Defined results: null and empty texts are one end id; every row is packed, repeated rows and rows with a null or repeated
+id each; an empty table gives no pieces; documents longer than a window fill as many as they need; ties in score go to the
+earlier document; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import functools
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +34,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.taskcontext import TaskContext
 
-from splitfold.llm.common import written
+from splitfold.llm.common import dropped, written
+from splitfold.llm.wordhash import mixed, slices, word_hashes, word_spans
 
 WINDOW, END, SHARD_TOKENS, NO_RANK = 4096, 2, 1_000_000, (1 << 16) - 1
 K1, B = 1.2, 0.75
 #: Terms in more of a shard's documents than this share have a row of weights for all of them instead of a posting list;
 #: so the rows hold at most 1 / COMMON numbers for each posting. No term is left out of retrieval.
 COMMON = 1 / 8
-#: Entries of either cache, the longest word in it, and texts encoded at a time.
-CACHE, CACHE_LENGTH, TEXTS = 400_000, 64, 500
+#: Entries of either cache, the longest part in it, and ids looked at in a time.
+CACHE, CACHE_LENGTH, IDS = 400_000, 64, 1 << 21
 #: Fixed value: how the tokenizer's file splits text.
 PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+BLANK = np.isin(np.arange(256), [9, 10, 32])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -50,25 +57,36 @@ def lowered(word: str) -> str:
     return word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] numbers), begin[1], ... and so on."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Encoder:
-    """Texts to the bytes of their 16-bit ids.
+    """Texts to their 16-bit ids.
 
-    Words between blanks and their parts (the pattern by which the tokenizer itself splits) are kept in bounded caches,
-    the most frequent ones as they come first. New parts are encoded in one call; each ends with the one id that ends a
-    word. Words with special tokens or characters that aren't printable go to the tokenizer as they are.
+    The ids of words between blanks lie end to end in ``pool``; a word's number is found by its hash, and ``check`` has its
+    second hash. Words have parts (the pattern by which the tokenizer itself splits), which are kept too. New parts are
+    encoded in one call; each ends with the one id that ends a word. Words with special tokens or characters that aren't
+    printable go to the tokenizer as they are.
     """
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids have to fit 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[int, int] = {}
+        self.pool, self.check = np.zeros(0, np.uint16), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
@@ -81,9 +99,9 @@ class Encoder:
         raw, cuts = ids.tobytes(), [0, *(2 * cuts).tolist()]
         return {p: raw[i:j] for p, i, j in zip(parts, cuts, cuts[1:], strict=False)}
 
-    def encode_words(self, new: set[str]) -> dict[str, bytes]:
-        """Words that aren't in the cache. ASCII letters alone are one part, so they need no pattern."""
-        parts = self.parts
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """ASCII letters alone are one part, so they need no pattern."""
+        parts, new = self.parts, set(words)
         whole = {w: w.lower() for w in new if w.isascii() and w.isalpha()}
         split = {w: PART.findall(lowered(w)) for w in new if w not in whole and w.isprintable() and "<|" not in w}
         wanted = {*whole.values(), *chain.from_iterable(split.values())}
@@ -91,20 +109,41 @@ class Encoder:
         known = {p: parts[p] if p in parts else fresh[p] for p in wanted}
         found = {w: known[p] for w, p in whole.items()} | {w: b"".join([known[p] for p in x]) for w, x in split.items()}
         found |= {w: self.ids(w).tobytes() for w in new if w not in found}
-        for cache, more in ((parts, fresh), (self.words, found)):
-            if len(cache) < CACHE:
-                cache.update((w, x) for w, x in more.items() if len(w) <= CACHE_LENGTH)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        flat = list(chain.from_iterable(split))
-        known = list(map(self.words.get, flat))
-        if new := {w for w, x in zip(flat, known, strict=True) if x is None}:
-            found = self.encode_words(new)
-            known = [found[w] if x is None else x for w, x in zip(flat, known, strict=True)]
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(known[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+        if len(parts) < CACHE:
+            parts.update((p, x) for p, x in fresh.items() if len(p) <= CACHE_LENGTH)
+        return [found[w] for w in words]
+
+    def added(self, words: list[str], check: np.ndarray) -> np.ndarray:
+        """Puts words into the pool and returns their numbers."""
+        ids, first = self.encode_words(words), len(self.size)
+        size = np.array([len(x) // 2 for x in ids], np.int64)
+        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(size) - size)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), np.uint16))
+        self.size, self.check = np.append(self.size, size), np.append(self.check, check)
+        return np.arange(first, first + len(words))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where the texts begin and end in them."""
+        if len(self.size) > CACHE:
+            self.clear()
+        starts, ends = word_spans(data, offsets, BLANK)
+        word = lambda i: data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
+        check = word_hashes(data, starts, ends, 1)
+        known, first, at = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        number = np.array([self.number.get(x, -1) for x in known.tolist()], np.int64)
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = self.added([word(i) for i in first[new].tolist()], check[first[new]])
+            self.number.update(zip(known[new].tolist(), number[new].tolist(), strict=True))
+        which = number[at]
+        if len(other := np.flatnonzero(self.check[which] != check)):  # another word with the same hash
+            which[other] = self.added([word(i) for i in other.tolist()], check[other])
+        size = self.size[which]
+        ids = self.pool[ranges(self.begin[which], size)]
+        texts = np.arange(len(offsets))
+        to = np.append(0, np.cumsum(size))[np.searchsorted(starts, offsets)]
+        out = np.full(len(ids) + len(offsets) - 1, END, np.uint16)
+        out[np.arange(len(ids)) + np.repeat(texts[:-1], np.diff(to))] = ids
+        return out, to + texts
 
 
 @functools.lru_cache(1)
@@ -114,16 +153,36 @@ def encoder_of(file: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, file: str) -> DataFrame:
-    """(doc_id, n, ids): the ids, with the end id, as little-endian 16-bit bytes."""
+    """(doc_id, n, ids, row): the ids, with the end id, as little-endian 16-bit bytes, and a pseudorandom number of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(file), np.array([END], np.uint16).tobytes()
+        encoder, seen = encoder_of(file), TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [x + end for at in range(0, len(texts), TEXTS) for x in encoder.encode(texts[at : at + TEXTS])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            for first, last, data, offsets in slices(batch.column(1)):
+                ids, at = encoder.encode(data, offsets)
+                row = mixed(np.arange(seen, seen := seen + last - first, dtype=np.uint64)).view(np.int64)
+                binary = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(at)), binary, pa.array(row)], names=["doc_id", "n", "ids", "row"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, ids binary, row long")
+
+
+def id_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row (exclusive), ids and lengths of runs of rows with about IDS ids."""
+    if not len(column):
+        return
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    ids, first = np.frombuffer(column.buffers()[2], np.uint16), 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + IDS, "right")) - 1)
+        yield first, last, ids[at[first] : at[last]], np.diff(at[first : last + 1])
+        first = last
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+def distinct(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """row * 2^16 + value of the distinct values of each row, in order."""
+    row = np.repeat(np.arange(len(size), dtype=np.uint32 if len(size) < 1 << 16 else np.int64), size)
+    return np.unique((row << 16) | values)
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -132,8 +191,8 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                df[np.unique(np.frombuffer(ids.as_buffer(), np.uint16))] += 1
+            for _, _, ids, size in id_runs(batch.column(0)):
+                df += np.bincount(distinct(ids, size) & 0xFFFF, minlength=1 << 16)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(df[held])], names=["id", "df"])
 
@@ -150,19 +209,23 @@ def affinity_ranks(df: np.ndarray) -> np.ndarray:
     return rank
 
 
-def affinity_keys(texts: pa.Array, low: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The three least ranks of each text's ids and 16 further bits as one signed number, in the order of all four."""
+def affinity_keys(texts: pa.Array, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The three least ranks of each text's ids and 16 bits of the row's number as one signed number, in the order of all four."""
     digits = np.full((len(texts), 4), NO_RANK, np.uint64)
-    for i, ids in enumerate(texts):
-        least = np.unique(rank[np.frombuffer(ids.as_buffer(), np.uint16)])[:3]
-        digits[i, : len(least)] = least
-    digits[:, 3] = low
+    for first, last, ids, size in id_runs(texts):
+        found = distinct(rank[ids], size).astype(np.int64)
+        start = np.searchsorted(found >> 16, np.arange(last - first + 1))
+        for k in range(3):
+            own = np.flatnonzero(start[:-1] + k < start[1:])
+            digits[first + own, k] = found[start[own] + k] & 0xFFFF
+    digits[:, 3] = row & 0xFFFF
     key = (digits << np.array([48, 32, 16, 0], np.uint64)).sum(axis=1, dtype=np.uint64)
     return (key ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def shard_starts(keys: DataFrame, size: int) -> np.ndarray:
-    """The least keys of shards of about size tokens, in order, from (key, n).
+def shard_starts(keys: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least keys of shards of about size tokens, in order, from (key, n), and the shards' numbers. Where numbers are
+    missing the keys before them hold more than a shard.
 
     Tokens are summed by the first 16 bits of the key, and by 16 more where a sum is above a quarter of a shard. Only
     the vocabulary's sums and a few numbers for each shard come to the driver.
@@ -185,48 +248,51 @@ def shard_starts(keys: DataFrame, size: int) -> np.ndarray:
         for r in level.groupBy(F.floor(F.col("start") / size).alias("shard")).agg(F.min("part").alias("part")).collect():
             least[r["shard"]] = min(r["part"] << bits, least.get(r["shard"], r["part"] << bits))
         above = [(r["part"], r["start"]) for r in level.where(4 * F.col("n") > size).select("part", "start").collect()]
-    return np.array(sorted(least.values()), np.int64)
+        dropped(level)
+    numbers = np.array(sorted(least), np.int64)
+    return np.array([least[x] for x in numbers.tolist()], np.int64), numbers
 
 
-def dealt(tokens: DataFrame, df: np.ndarray) -> DataFrame:
+def dealt(tokens: DataFrame, df: np.ndarray, total: int) -> DataFrame:
     """The tokens with the number of their shard."""
     ranks = tokens.sparkSession.sparkContext.broadcast(affinity_ranks(df))
-    rows = tokens.withColumn("low", F.xxhash64("doc_id").bitwiseAND(0xFFFF))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = affinity_keys(batch.column(1), batch.column(2).to_numpy(), ranks.value)
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], names=["key", "n"])
 
-    keys = written(rows.select("n", "ids", "low").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "packing-keys")
-    starts = tokens.sparkSession.sparkContext.broadcast(shard_starts(keys, SHARD_TOKENS))
+    keys = written(tokens.select("n", "ids", "row").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "packing-keys")
+    starts, numbers = shard_starts(keys, SHARD_TOKENS)
+    dropped(keys)
+    held = np.diff(np.append(numbers, max(-(-total // SHARD_TOKENS), *numbers + 1) if len(numbers) else []))
+    shared = tokens.sparkSession.sparkContext.broadcast((starts, numbers, held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, numbers, held = shared.value
         for batch in batches:
-            key = affinity_keys(batch.column(2), batch.column(3).to_numpy(), ranks.value)
-            shard = np.searchsorted(starts.value, key, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shard, pa.int64())], names=["doc_id", "n", "ids", "shard"])
+            row = batch.column(3).to_numpy()
+            at = np.searchsorted(starts, affinity_keys(batch.column(2), row, ranks.value), "right") - 1
+            shard = numbers[at] + (row.view(np.uint64) >> np.uint64(16)).astype(np.int64) % held[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=["doc_id", "n", "ids", "row", "shard"])
 
-    return rows.select("doc_id", "n", "ids", "low").mapInArrow(run, "doc_id long, n long, ids binary, shard long")
+    return tokens.select("doc_id", "n", "ids", "row").mapInArrow(run, "doc_id long, n long, ids binary, row long, shard long")
 
 
 class Index:
     """BM25 over a shard's documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        self.n, self.terms = len(docs), []
-        doc, term, weight = [], [], []
-        for i, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            self.terms.append(t)
-            doc.append(np.full(len(t), i))
-            term.append(t)
-            weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-        term = np.concatenate(term)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = np.concatenate(doc)[order], np.concatenate(weight)[order]
-        self.starts = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-        common = np.flatnonzero(np.diff(self.starts) > COMMON * self.n)
+        self.n, size = len(docs), np.array([len(d) for d in docs])
+        found, tf = np.unique(np.repeat(np.arange(self.n), size) << 16 | np.concatenate(docs).astype(np.int64), return_counts=True)
+        doc, self.term = found >> 16, found & 0xFFFF
+        self.of = np.searchsorted(doc, np.arange(self.n + 1))
+        weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+        order = np.argsort(self.term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.starts = np.searchsorted(self.term[order], np.arange((1 << 16) + 1))
+        self.size = np.diff(self.starts)
+        common = np.flatnonzero(self.size > COMMON * self.n)
         self.row, self.rows = np.full(1 << 16, -1), np.zeros((len(common), self.n))
         self.row[common] = np.arange(len(common))
         for k, t in enumerate(common.tolist()):
@@ -235,10 +301,11 @@ class Index:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents by falling score for the seed's terms."""
-        row = self.row[self.terms[seed]]
-        scores = self.rows[row[row >= 0]].sum(axis=0)
-        if spans := [slice(self.starts[t], self.starts[t + 1]) for t in self.terms[seed][row < 0].tolist()]:
-            scores += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        terms = self.term[self.of[seed] : self.of[seed + 1]]
+        row = self.row[terms]
+        scores, rare = self.rows[row[row >= 0]].sum(axis=0), terms[row < 0]
+        at = ranges(self.starts[rare], self.size[rare])
+        scores += np.bincount(self.doc[at], self.weight[at], self.n)
         return np.argsort(-scores, kind="stable")
 
 
@@ -300,7 +367,7 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((idf, total / max(count, 1)))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
+        table = table.sort_by([("doc_id", "ascending"), ("row", "ascending")])
         ids = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("ids")]
         doc_id, shard = table.column("doc_id").to_pylist(), table.column("shard")[0].as_py()
         rows, k = [], 0
@@ -313,4 +380,4 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
                 k += 1
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return dealt(tokens, df).groupBy("shard").applyInArrow(run, PIECES)
+    return dealt(tokens, df, total).groupBy("shard").applyInArrow(run, PIECES)
