@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,28 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def by_key(rows: DataFrame, key: str, columns: list[str], body: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """body(table of one key) for each value of a long column; a key's rows lie together in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in filter(len, batches):
+            value = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[-1].as_py() != value[0]:
+                yield from body(pa.Table.from_batches(held))
+                held = []
+            cuts = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                held.append(batch.slice(a, b - a))
+                if b < len(value):
+                    yield from body(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield from body(pa.Table.from_batches(held))
+
+    return rows.select(key, *columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,10 +51,15 @@ def corpus(text_of, awkward):
     return texts + texts[-5:]
 
 
+def shingles(text, ngram):
+    words = (text or "").encode().lower().split()
+    return set(zip(*[words[k:] for k in range(ngram)])) if len(words) >= ngram else {tuple(words)} if words else set()
+
+
 @pytest.mark.parametrize("ngram", [2, 5])
 def test_minhash_against_all_pairs(make, text_of, awkward, ngram):
     texts = corpus(text_of, awkward)
-    sets = [minhash.shingles(t, ngram) for t in texts]
+    sets = [shingles(t, ngram) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = connected(range(len(texts)), links)
     rows = minhash.near_duplicates(make(texts), ngram=ngram).collect()
@@ -63,9 +69,23 @@ def test_minhash_against_all_pairs(make, text_of, awkward, ngram):
 
 
 def test_shingles_follow_the_word_rule():
-    assert minhash.shingles("A b c\x0bD", 2) == {(b"a", "b c".encode()), ("b c".encode(), b"d")}
-    assert minhash.shingles("A", 2) == {(b"a",)} and minhash.shingles(" \n", 2) == set()
-    assert minhash.shingles("É", 2) == {("É".encode(),)}  # only A-Z are lowered
+    texts = ["A b c\x0bD", "A", " \n", "É", "a b c d a b c", None, "a b c\x0bd", "é", "a\x0bb c d a b c"]
+    for n in (1, 2, 3):
+        sets = minhash.shingle_sets(pa.array(texts), n)
+        assert [len(x) for x in sets] == [len(shingles(t, n)) for t in texts]
+        assert sets[0].tolist() == sets[6].tolist() and sets[3].tolist() != sets[7].tolist() and sets[4].tolist() == sets[8].tolist()  # only A-Z are lowered
+
+
+def test_minhash_of_null_and_repeated_ids(spark, text_of):
+    x, y = text_of(1, 80), text_of(2, 80)
+    near = lambda t: t.rpartition(" ")[0] + " changed"
+    rows = [(1, x), (1, y), (2, near(x)), (3, near(y)), (None, near(x)), (None, text_of(3, 30)), (4, None), (4, " "), (3, near(y))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(docs, 2).collect())
+    assert got == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in minhash.deduplicated(docs, 2).collect())
+    assert kept == sorted([(0, text_of(3, 30)), (1, x), (1, y), (4, ""), (4, " ")])
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
 
 
 def test_minhash_of_nothing(make):
