@@ -1,8 +1,10 @@
 """Lexical retrieval packing into fixed windows.
 
-Every text is tokenized once, whole. Words between blanks are found and hashed as arrays, and only words that a task
-hasn't met yet go to the tokenizer, which is exact as this tokenizer never joins across white space; 128 bits of hash tell
-words apart. Texts are kept as 16-bit ids with an end id.
+Every text is tokenized once, whole. Its parts (runs of letters, digits, runs of other characters, by the tokenizer's own
+rule) are found and hashed as arrays where a word is plain (ASCII and the letters of Latin-1); words with other characters
+are taken whole. Only parts
+and words that a task hasn't met yet go to the tokenizer, which is exact as this tokenizer never joins across them; 128
+bits of hash tell them apart. Texts are kept as 16-bit ids with an end id.
 
 Documents are dealt by lexical affinity to shards of about ``SHARD_TOKENS`` tokens, so the number of shards follows the
 corpus and a shard always fits a task: they are ordered by their three rarest ids that another document holds too (rarest
@@ -37,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.taskcontext import TaskContext
 
 from splitfold.llm.common import dropped, written
-from splitfold.llm.wordhash import mixed, slices, word_hashes, word_spans
+from splitfold.llm.wordhash import LOWER, distinct, mixed, slices, word_hashes, word_spans
 
 WINDOW, END, SHARD_TOKENS, NO_RANK = 4096, 2, 1_000_000, (1 << 16) - 1
 K1, B = 1.2, 0.75
@@ -45,10 +47,14 @@ K1, B = 1.2, 0.75
 #: so the rows hold at most 1 / COMMON numbers for each posting. No term is left out of retrieval.
 COMMON = 1 / 8
 #: Entries of either cache, the longest part in it, and ids looked at in a time.
-CACHE, CACHE_LENGTH, IDS = 400_000, 64, 1 << 21
+CACHE, CACHE_LENGTH, IDS = 1_000_000, 64, 1 << 21
 #: Fixed value: how the tokenizer's file splits text.
 PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BLANK = np.isin(np.arange(256), [9, 10, 32])
+#: Bytes that make a word go to the tokenizer's pattern whole: beyond Latin-1, not printable, or part of a contraction or special token.
+OTHER = ~np.isin(np.arange(256), [9, 10, *range(32, 127)]) | np.isin(np.arange(256), [ord("'"), ord("|")])
+#: 1 for letters, 2 for digits, 0 for others.
+KIND = np.array([2 if chr(b) in "0123456789" else 1 if chr(b).isalpha() and b < 128 else 0 for b in range(256)], np.uint8)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -100,43 +106,54 @@ class Encoder:
         return {p: raw[i:j] for p, i, j in zip(parts, cuts, cuts[1:], strict=False)}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """ASCII letters alone are one part, so they need no pattern."""
-        parts, new = self.parts, set(words)
-        whole = {w: w.lower() for w in new if w.isascii() and w.isalpha()}
-        split = {w: PART.findall(lowered(w)) for w in new if w not in whole and w.isprintable() and "<|" not in w}
-        wanted = {*whole.values(), *chain.from_iterable(split.values())}
-        fresh = self.encode_parts([p for p in wanted if p not in parts])
-        known = {p: parts[p] if p in parts else fresh[p] for p in wanted}
-        found = {w: known[p] for w, p in whole.items()} | {w: b"".join([known[p] for p in x]) for w, x in split.items()}
-        found |= {w: self.ids(w).tobytes() for w in new if w not in found}
-        if len(parts) < CACHE:
-            parts.update((p, x) for p, x in fresh.items() if len(p) <= CACHE_LENGTH)
-        return [found[w] for w in words]
-
-    def added(self, words: list[str], check: np.ndarray) -> np.ndarray:
-        """Puts words into the pool and returns their numbers."""
-        ids, first = self.encode_words(words), len(self.size)
-        size = np.array([len(x) // 2 for x in ids], np.int64)
-        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(size) - size)
-        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), np.uint16))
-        self.size, self.check = np.append(self.size, size), np.append(self.check, check)
-        return np.arange(first, first + len(words))
+        split = [PART.findall(lowered(w)) if w.isprintable() and "<|" not in w else None for w in words]
+        wanted = {*chain.from_iterable(x for x in split if x)}
+        fresh = self.encode_parts([p for p in wanted if p not in self.parts])
+        known = {p: self.parts[p] if p in self.parts else fresh[p] for p in wanted}
+        if len(self.parts) < CACHE:
+            self.parts.update((p, x) for p, x in fresh.items() if len(p) <= CACHE_LENGTH)
+        return [self.ids(w).tobytes() if x is None else b"".join([known[p] for p in x]) for w, x in zip(words, split, strict=True)]
+
+    def added(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Puts parts (plain) and words into the pool and returns their numbers."""
+        number = np.empty(len(starts), np.int64)
+        for own, encode in ((np.flatnonzero(plain), self.encode_plain), (np.flatnonzero(~plain), self.encode_others)):
+            if len(own):
+                ids, size = encode(data, starts[own], ends[own])
+                number[own] = len(self.size) + np.arange(len(own))
+                self.begin = np.append(self.begin, len(self.pool) + np.cumsum(size) - size)
+                self.pool = np.append(self.pool, ids)
+                self.size, self.check = np.append(self.size, size), np.append(self.check, check[own])
+        return number
+
+    def encode_plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' ids, end to end, and how many each has."""
+        size = ends - starts
+        line = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        line[ranges(np.cumsum(size + 1) - size - 1, size)] = data[ranges(starts, size)]
+        ids = self.ids(line.tobytes().decode("utf-8", "replace"))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(size) else self.encode_others(data, starts, ends)
+
+    def encode_others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode_words([data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return np.frombuffer(b"".join(ids), np.uint16), np.array([len(x) // 2 for x in ids], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where the texts begin and end in them."""
         if len(self.size) > CACHE:
             self.clear()
-        starts, ends = word_spans(data, offsets, BLANK)
-        word = lambda i: data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
+        starts, ends, plain, data = units(data, offsets)
+        add = lambda i: self.added(data, starts[i], ends[i], plain[i], check[i])
         check = word_hashes(data, starts, ends, 1)
         known, first, at = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         number = np.array([self.number.get(x, -1) for x in known.tolist()], np.int64)
         if len(new := np.flatnonzero(number < 0)):
-            number[new] = self.added([word(i) for i in first[new].tolist()], check[first[new]])
+            number[new] = add(first[new])
             self.number.update(zip(known[new].tolist(), number[new].tolist(), strict=True))
         which = number[at]
-        if len(other := np.flatnonzero(self.check[which] != check)):  # another word with the same hash
-            which[other] = self.added([word(i) for i in other.tolist()], check[other])
+        if len(other := np.flatnonzero(self.check[which] != check)):  # another one with the same hash
+            which[other] = add(other)
         size = self.size[which]
         ids = self.pool[ranges(self.begin[which], size)]
         texts = np.arange(len(offsets))
@@ -146,6 +163,30 @@ class Encoder:
         return out, to + texts
 
 
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of plain words, in lower case, and of other words; which are parts; and the bytes so far
+    in lower case."""
+    starts, ends = word_spans(data, offsets, BLANK)
+    # the letters of Latin-1 are the byte C3 and one of 80 to BF, of which 97 and B7 are signs and 80 to 9E upper case
+    second = np.append(False, data[:-1] == 0xC3) & (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)
+    letter = second | np.append(second[1:], False)
+    before = np.append(0, np.cumsum(OTHER[data] & ~letter))
+    plain = before[ends] == before[starts]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[plain]] += 1
+    edge[ends[plain]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    kind = np.where(letter, 1, KIND[data])
+    begin = inside.copy()
+    begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begin[starts[plain]] = True
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | begin[1:]
+    a, b = np.append(np.flatnonzero(begin), starts[~plain]), np.append(np.flatnonzero(last) + 1, ends[~plain])
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], order < len(a) - int((~plain).sum()), np.where(inside, np.where(second & (data < 0x9F), data + 32, LOWER[data]), data)
+
+
 @functools.lru_cache(1)
 def encoder_of(file: str) -> Encoder:
     """One encoder for all tasks of a Python worker, so that its caches last."""
@@ -179,10 +220,10 @@ def id_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         first = last
 
 
-def distinct(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+def row_values(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     """row * 2^16 + value of the distinct values of each row, in order."""
     row = np.repeat(np.arange(len(size), dtype=np.uint32 if len(size) < 1 << 16 else np.int64), size)
-    return np.unique((row << 16) | values)
+    return distinct((row << 16) | values)
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -192,7 +233,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for _, _, ids, size in id_runs(batch.column(0)):
-                df += np.bincount(distinct(ids, size) & 0xFFFF, minlength=1 << 16)
+                df += np.bincount(row_values(ids, size) & 0xFFFF, minlength=1 << 16)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(df[held])], names=["id", "df"])
 
@@ -213,7 +254,7 @@ def affinity_keys(texts: pa.Array, row: np.ndarray, rank: np.ndarray) -> np.ndar
     """The three least ranks of each text's ids and 16 bits of the row's number as one signed number, in the order of all four."""
     digits = np.full((len(texts), 4), NO_RANK, np.uint64)
     for first, last, ids, size in id_runs(texts):
-        found = distinct(rank[ids], size).astype(np.int64)
+        found = row_values(rank[ids], size).astype(np.int64)
         start = np.searchsorted(found >> 16, np.arange(last - first + 1))
         for k in range(3):
             own = np.flatnonzero(start[:-1] + k < start[1:])
@@ -284,7 +325,9 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         self.n, size = len(docs), np.array([len(d) for d in docs])
-        found, tf = np.unique(np.repeat(np.arange(self.n), size) << 16 | np.concatenate(docs).astype(np.int64), return_counts=True)
+        every = np.sort(np.repeat(np.arange(self.n), size) << 16 | np.concatenate(docs).astype(np.int64))
+        first = np.flatnonzero(np.append(True, np.diff(every) != 0))
+        found, tf = every[first], np.diff(np.append(first, len(every)))
         doc, self.term = found >> 16, found & 0xFFFF
         self.of = np.searchsorted(doc, np.arange(self.n + 1))
         weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
