@@ -19,8 +19,10 @@ So a group of near copies costs a row for each document and list, not one for ea
 Links are the same as of all candidate pairs, as a pair is left out only where its two sides are joined already.
 
 Defined results: null, empty and all-space texts have an empty set and link with nothing; texts with fewer than ``ngram``
-words have their whole sequence as the one element; ids that repeat with different texts are one node; long texts are
-used whole; an empty table gives no rows; columns with clashing names are ignored.
+words have their whole sequence as the one element; ids that repeat with different texts are texts of their own, each
+linked by its own set; a component's id is the least id in it that isn't null, and null if there is none; rows that repeat
+are one text; long texts are used whole; an empty table gives no rows; columns with clashing names are ignored or pass
+through ``deduplicated``. Sets are compared by 64-bit hashes of their elements.
 """
 
 from __future__ import annotations
@@ -33,41 +35,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import written
+from splitfold.llm.common import NON_SPACE_CLASS, dropped, written
 from splitfold.llm.components import components
+from splitfold.llm.wordhash import LOWER, slices, word_hashes, word_spans
 
 COORDINATES, MATCHES, BLOCK, PERCENT = 32, 14, 512, 80
 _random = np.random.default_rng(20240502)
 FACTORS = _random.integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 OFFSETS = _random.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS, PART = 500_000, 2048
+PART = 2048
 
 
-def shingles(text: str | None, ngram: int) -> set[tuple[bytes, ...]]:
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return set(zip(*[words[k:] for k in range(ngram)], strict=False)) if len(words) >= ngram else {tuple(words)} if words else set()
+def shingled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, from the words' hashes."""
+    x = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        x = (x ^ (x >> np.uint64(29))) * MIX + h[k : len(h) - n + 1 + k]
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return x ^ (x >> np.uint64(29))
 
 
-def similar(x: set, y: set, percent: int) -> bool:
-    both = len(x & y)
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def shingle_sets(texts: pa.Array, ngram: int) -> list[np.ndarray]:
+    """The set of each text, as sorted hashes of its elements."""
+    out = []
+    for _, _, data, offsets in slices(texts):
+        data = LOWER[data]
+        starts, ends = word_spans(data, offsets)
+        h = word_hashes(data, starts, ends)
+        every = shingled(h, ngram) if len(h) >= ngram else h
+        at = np.searchsorted(starts, offsets).tolist()
+        for i, j in zip(at, at[1:], strict=False):
+            out.append(np.unique(every[i : j - ngram + 1]) if j - i >= ngram else shingled(h[i:j], j - i) if j > i else every[:0])
+    return out
 
 
-def hashed(text: str | None, ngram: int, cache: dict[bytes, int]) -> np.ndarray:
-    """The set of the text as sorted 64-bit hashes."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    for w in [w for w in set(words) if w not in cache]:
-        cache[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([cache[w] for w in words], np.uint64)
-    n = min(ngram, len(h))
-    x = np.zeros(len(h) - n + 1 if len(h) else 0, np.uint64)
-    for k in range(n):
-        x = (x ^ (x >> np.uint64(29))) * MIX + h[k : len(h) - n + 1 + k]
-    x = (x ^ (x >> np.uint64(32))) * MIX
-    return np.unique(x ^ (x >> np.uint64(29)))
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def signature(x: np.ndarray) -> np.ndarray:
@@ -77,18 +82,23 @@ def signature(x: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+#: Two hashes that name a row's id and text; rows with the same ones are copies of a row, as far as this goes.
+def keyed() -> tuple:
+    return F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")
+
+
 def signatures(docs: DataFrame, ngram: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig); digest and sig are null for empty sets."""
+    """(doc_id, k1, k2, n_shingles, digest, sig); digest and sig are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         for batch in batches:
-            sets = [hashed(t, ngram, cache) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(3), ngram)
             digest = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             sig = [signature(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "k1", "k2", "n_shingles", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), *keyed(), "text")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 int, n_shingles long, digest binary, sig array<int>")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -116,7 +126,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(shingles(x, ngram), shingles(y, ngram), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            one, two = (shingle_sets(batch.column(k), ngram) for k in (2, 3))
+            keep = [similar(x, y, percent) for x, y in zip(one, two, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
@@ -208,8 +219,8 @@ def rest_links(posts: DataFrame, docs: DataFrame, texts: DataFrame, ngram: int,
 
     def linked(t: pa.Table) -> Iterator[pa.RecordBatch]:
         a, b = crossing(*arrays(t))
-        rep, label, text = t.column("rep").to_pylist(), t.column("label").to_pylist(), t.column("text").to_pylist()
-        sets: dict[int, set] = {}
+        rep, label = t.column("rep").to_pylist(), t.column("label").to_pylist()
+        texts, sets = t.column("text").combine_chunks(), {}
         top = {x: x for x in label}
         out = []
 
@@ -224,7 +235,7 @@ def rest_links(posts: DataFrame, docs: DataFrame, texts: DataFrame, ngram: int,
             if p != q:
                 for k in (x, y):
                     if k not in sets:
-                        sets[k] = shingles(text[k], ngram)
+                        sets[k] = shingle_sets(texts.slice(k, 1), ngram)[0]
                 if similar(sets[x], sets[y], percent):
                     top[max(p, q)] = min(p, q)
                     out.append((rep[x], rep[y]))
@@ -237,18 +248,42 @@ def rest_links(posts: DataFrame, docs: DataFrame, texts: DataFrame, ngram: int,
     return by_block(whole, [*columns, "text"], linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+def linked(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, k1, k2, n_shingles, digest), and for each digest the id of its component (root) and the component's
+    least doc_id (component_id)."""
     sigs = written(signatures(docs, ngram), "minhash-signatures")
-    reps = written(sigs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "minhash-reps")
+    one = [F.min(F.struct("doc_id", "k1", "k2")).alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")]
+    reps = written(sigs.where("digest is not null").groupBy("digest").agg(*one).withColumn("rep", F.monotonically_increasing_id()), "minhash-reps")
     held = written(candidates(reps), "minhash-candidates")
     posts = written(held.select("rep", "n", F.explode(F.slice("tokens", F.lit(1), F.col("n_posted"))).alias("token")), "minhash-postings")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(held.select("rep"), "rep").groupBy("rep").agg(F.first("text").alias("text")), "minhash-texts")
+    wanted = held.select("rep").join(reps.select("rep", "row.k1", "row.k2"), "rep")
+    texts = written(docs.select(*keyed(), "text").join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).drop("k1", "k2"), "minhash-texts")
     star = written(confirmed(star_pairs(posts, held, percent), texts, ngram, percent), "minhash-star-links")
     labels = written(components(star).select(F.col("id").alias("rep"), "component"), "minhash-labels")
-    labelled = posts.join(labels, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("label"))
-    rest = written(rest_links(written(labelled, "minhash-labelled"), held, texts, ngram, percent), "minhash-rest-links")
-    final = components(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionAll(rest))
-    named = written(reps.join(final, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "minhash-components")
-    found = sigs.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    labelled = written(posts.join(labels, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("label")), "minhash-labelled")
+    rest = written(rest_links(labelled, held, texts, ngram, percent), "minhash-rest-links")
+    dropped(held, posts, texts, star, labelled)
+    final = components(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionAll(rest)).withColumnRenamed("id", "rep")
+    roots = written(reps.select("digest", "rep", "least").join(final, "rep", "left").select("digest", "least", F.coalesce("component", "rep").alias("root")), "minhash-roots")
+    dropped(reps, labels, rest)
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return sigs.drop("sig"), written(roots.select("digest", "root").join(least, "root"), "minhash-components")
+
+
+def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    sigs, named = linked(docs, ngram, percent)
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    found = sigs.join(named.select("digest", "component_id"), "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, ngram: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that with the least id (then the least hash; null ids last); rows without words stay."""
+    sigs, named = linked(docs, ngram, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")
+    chosen = written(sigs.join(named, "digest").groupBy("root").agg(first).select("first.k1", "first.k2"), "minhash-chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *keyed(), F.coalesce(F.col("text").rlike(NON_SPACE_CLASS), F.lit(False)).alias("worded"))
+    # copies of a row are one from here on, before rows move
+    own = rows.where("worded").groupBy("k1", "k2").agg(F.first("doc").alias("doc")).join(chosen, ["k1", "k2"], "left_semi")
+    return own.select("doc.*").unionAll(rows.where("not worded").select("doc.*"))
