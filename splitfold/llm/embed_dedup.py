@@ -1,22 +1,29 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
-Vectors of one label are compared by cosine. Equal vectors are one row with a multiplicity from here on. Each of TABLES
-tables flips signs and applies the fast Hadamard transform three times (a pseudorandom rotation in d log d steps), and
-takes the nearest vertex of the cross polytope, which is the largest coordinate and its sign; ROTATIONS of them make a
-bucket. Each vector is posted once under its own bucket and probes that bucket and the ROTATIONS next likely ones, in each of
-which one rotation's vertex is replaced by its runner-up. Pairs of a posting and a probe in the same
-(table, label, bucket) are candidates, each kept once, and are verified by the exact cosine in double precision.
+Vectors of one label are compared by cosine. Equal vectors are one row with a multiplicity from here on. Each table flips
+signs and applies the fast Hadamard transform three times (a pseudorandom rotation in d log d steps), and takes the nearest
+vertex of the cross polytope, which is the largest coordinate and its sign; some rotations of them make a bucket. Each
+vector stands in its own bucket and probes the next likely ones, in each of which one rotation's vertex is replaced by its
+runner-up. Two vectors of a label that meet in a bucket, which is one of them's own, are a candidate pair.
 
-At a cosine of 0.98 in 64 dimensions a pair meets in one table with probability of about 0.9, so that ten tables miss
-next to none. Buckets are join keys, whose large partitions Spark splits; equal vectors never meet each other.
+At a cosine of 0.98 in 64 dimensions a pair meets in one table of two rotations with probability of about 0.9, so that six
+tables miss next to none. The number of rotations follows the logarithm of the largest label's vectors, so that buckets
+stay small, and the number of tables follows that of rotations, so that recall stays.
+
+Buckets of more than ``BLOCK`` vectors are cut into blocks whose pairs are tasks of their own. A pair of blocks is one
+product of matrices in double precision, which verifies all its candidates at once; pairs never become rows. A pair counts
+in the first bucket in which it meets and in no other. What leaves a block is a row for each vector that has a link there:
+how many vectors it links to, and the least vector that it reaches inside the block, from which components follow.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or has a null label, links
-with nothing; vectors of different lengths link with nothing; repeated ids each count as a vector of their own and give a
-row each, though components take all rows of an id as one node; an empty table gives no rows; other columns are ignored.
+with nothing; vectors of different lengths link with nothing; rows with a null or repeated id each count as a vector of
+their own and give a row each, and a component's id is the least id that isn't null (a row of no other id is its own
+component, null for a null id); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +31,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, LongType
 
-from splitfold.llm.common import written
+from splitfold.llm.common import by_key, dropped, written
 from splitfold.llm.components import components
 
-TABLES, ROTATIONS, COSINE, SEED = 10, 2, 0.98, 11
+COSINE, SEED, BLOCK, IN_BUCKET, PAIRS = 0.98, 11, 1024, 16, 1 << 17
+#: Cosines this near to the limit are computed once more, pair by pair.
+CLOSE = 1e-12
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -56,90 +65,150 @@ def vertices(x: np.ndarray, table: int, rotation: int) -> tuple[np.ndarray, np.n
     return code[:, 0], code[:, 1]
 
 
-def buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(own bucket [rows, tables], further probes [rows, tables, ROTATIONS]) of unit vectors."""
-    width = 1 << max(1, int(np.ceil(np.log2(max(x.shape[1], 2)))))
+def width_of(size: int) -> int:
+    return 1 << max(1, math.ceil(math.log2(max(size, 2))))
+
+
+def rotations_for(n: int, size: int) -> int:
+    """So many that a label's n vectors of a length would fill each bucket with about IN_BUCKET of them; two at least."""
+    return max(2, math.ceil(math.log(max(n / IN_BUCKET, 1)) / math.log(2 * width_of(size))))
+
+
+def buckets(x: np.ndarray, rotations: int) -> np.ndarray:
+    """[rows, tables, 1 + rotations]: own bucket and further probes of unit vectors."""
+    width = width_of(x.shape[1])
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    own, more = [], []
-    for t in range(TABLES):
-        first, second = zip(*[vertices(x, t, r) for r in range(ROTATIONS)], strict=True)
-        place = [(2 * width) ** r for r in range(ROTATIONS)]
+    every = []
+    for t in range(2 * rotations + 2):
+        first, second = zip(*[vertices(x, t, r) for r in range(rotations)], strict=True)
+        place = [(2 * width) ** r for r in range(rotations)]
         code = sum(f * p for f, p in zip(first, place, strict=True))
-        own.append(code)
-        more.append(np.stack([code + (s - f) * p for f, s, p in zip(first, second, place, strict=True)], axis=1))
-    return np.stack(own, axis=1), np.stack(more, axis=1)
+        every.append(np.stack([code, *[code + (s - f) * p for f, s, p in zip(first, second, place, strict=True)]], axis=1))
+    return np.stack(every, axis=1)
+
+
+def vectors_of(column: pa.Array) -> list[np.ndarray]:
+    """The rows in double precision, null components as NaN, null rows empty."""
+    at = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return [flat[i:j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
-def usable(v: list | None) -> np.ndarray | None:
-    if not v or any(c is None for c in v):
-        return None
-    x = np.array(v, np.float64)
-    return x if np.isfinite(x).all() and (x != 0).any() and np.isfinite(np.sqrt((x * x).sum())) else None
+def usable(v: np.ndarray) -> bool:
+    return bool(len(v) and np.isfinite(v).all() and (v != 0).any() and 0 < (v * v).sum() < np.inf)
 
 
 def usable_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, label, digest, embedding): digest is null where the vector links with nothing."""
-    schema = rows.select("vec_id", "label").schema.add("digest", "binary").add("embedding", ArrayType(DoubleType()))
+    schema = rows.select("vec_id", "label").schema.add("digest", "binary").add(rows.schema["embedding"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [usable(v) if label is not None else None for v, label in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            digest = [None if v is None else xxhash.xxh3_128_digest((v + 0.0).tobytes()) for v in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array([None if v is None else v for v in x], pa.list_(pa.float64()))], names=schema.names)
+            known = batch.column(1).is_valid().to_pylist()
+            digest = [xxhash.xxh3_128_digest((v + 0.0).tobytes()) if k and usable(v) else None for v, k in zip(vectors_of(batch.column(2)), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), batch.column(2)], names=schema.names)
 
     return rows.select("vec_id", "label", "embedding").mapInArrow(run, schema)
 
 
-def postings(vectors: DataFrame) -> DataFrame:
-    """(rep, label, size, bucket, own): size is the vector's length; bucket holds the table's number."""
-    schema = vectors.select("rep", "label").schema.add("size", "integer").add("bucket", "long").add("own", "boolean")
+def coded(vectors: DataFrame, rotations: dict[int, int]) -> DataFrame:
+    """(rep, label, copies, embedding, codes): codes has the vector's own bucket and its probes for each table."""
+    schema = vectors.schema.add("codes", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = batch.column(2).to_pylist()
+            vecs = vectors_of(batch.column(3))
+            codes: list = [None] * len(vecs)
             for size in sorted({len(v) for v in vecs}):
                 rows = [i for i, v in enumerate(vecs) if len(v) == size]
                 x = np.array([vecs[i] for i in rows])
-                own, more = buckets(x / np.linalg.norm(x, axis=1, keepdims=True))
-                every = np.concatenate([own[:, :, None], more], axis=2) * TABLES + np.arange(TABLES)[None, :, None]
-                each = every.shape[1] * every.shape[2]
-                part = batch.take(pa.array(np.repeat(rows, each)))
-                flags = np.tile(np.arange(every.shape[2]) == 0, len(rows) * TABLES)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(flags), size, np.int32)), pa.array(every.ravel()), pa.array(flags)], names=schema.names)
-
-    return vectors.select("rep", "label", "embedding").mapInArrow(run, schema)
-
-
-def verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
-    """The pairs (a, b) whose cosine is at least the limit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.array(p), np.array(q)
-                keep.append(float(p @ q / (np.sqrt(p @ p) * np.sqrt(q @ q))) >= cosine)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one = vectors.select(F.col("rep").alias("a"), "label", F.col("digest").alias("da"), F.col("embedding").alias("x"))
-    two = vectors.select(F.col("rep").alias("b"), "label", F.col("digest").alias("db"), F.col("embedding").alias("y"))
-    return pairs.join(one, ["a", "label"]).join(two, ["b", "label"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+                for i, c in zip(rows, buckets(x / np.linalg.norm(x, axis=1, keepdims=True), rotations[size]), strict=True):
+                    codes[i] = c.ravel()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], names=schema.names)
+
+    return vectors.mapInArrow(run, schema)
+
+
+def linked_in(x: np.ndarray, codes: np.ndarray, own: np.ndarray, part: np.ndarray, copies: np.ndarray, bucket: tuple[int, int], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a block: how many vectors it links to in this bucket and in none before, and the least row it reaches."""
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near = unit @ unit.T
+    linked = near >= cosine
+    for i, j in zip(*np.nonzero(np.triu(np.abs(near - cosine) < CLOSE, 1)), strict=True):
+        linked[i, j] = linked[j, i] = x[i] @ x[j] / (np.sqrt(x[i] @ x[i]) * np.sqrt(x[j] @ x[j])) >= cosine
+    np.fill_diagonal(linked, False)
+    linked &= own[:, None] | own[None, :]
+    if (part >= 0).any():
+        linked &= part[:, None] != part[None, :]
+    count = np.zeros(len(x), np.int64)
+    left, right = np.nonzero(np.triu(linked))
+    for at in range(0, len(left), PAIRS):
+        a, b = left[at : at + PAIRS], right[at : at + PAIRS]
+        none = np.iinfo(np.int64).max
+        first, where = np.full(len(a), none), np.full(len(a), -1)
+        for t in range(bucket[0] + 1):
+            open_ = np.flatnonzero(where < 0)
+            p, q = codes[a[open_], t], codes[b[open_], t]
+            met = np.minimum(np.where((q == p[:, :1]).any(axis=1), p[:, 0], none), np.where((p == q[:, :1]).any(axis=1), q[:, 0], none))
+            found = met < none
+            first[open_[found]], where[open_[found]] = met[found], t
+        counts = (where == bucket[0]) & (first == bucket[1])
+        count += np.bincount(a[counts], copies[b[counts]], len(x)).astype(np.int64) + np.bincount(b[counts], copies[a[counts]], len(x)).astype(np.int64)
+    least, todo = np.arange(len(x)), linked.any(axis=1)
+    for i in range(len(x)):
+        if todo[i]:
+            todo[i], reached = False, [i]
+            while len(reached):
+                reached = np.flatnonzero(linked[reached].any(axis=0) & todo)
+                todo[reached], least[reached] = False, i
+    return count, least
+
+
+def block_links(rows: DataFrame, cosine: float) -> DataFrame:
+    """(rep, root, near) of the vectors with a link in a pair of blocks."""
+
+    def body(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, table, bucket, part, rep, copies = (t.column(c).to_numpy() for c in ("group", "table", "bucket", "part", "rep", "copies"))
+        vecs, codes = vectors_of(t.column("embedding").combine_chunks()), t.column("codes").to_pylist()
+        kinds = np.stack([group, table, bucket])
+        for kind in np.unique(kinds, axis=1).T:  # one, but for lists whose hashes are equal
+            own = np.flatnonzero((kinds == kind[:, None]).all(axis=0))
+            own = own[np.argsort(rep[own])]
+            x = np.array([vecs[i] for i in own])
+            tables = np.array([codes[i] for i in own]).reshape(len(own), -1, int(t.column("probes")[0].as_py()))
+            near, least = linked_in(x, tables, tables[:, kind[1], 0] == kind[2], part[own], copies[own], (int(kind[1]), int(kind[2])), cosine)
+            held = np.flatnonzero((near > 0) | (least < np.arange(len(own))))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[own[held]]), pa.array(rep[own[least[held]]]), pa.array(near[held])], names=["rep", "root", "near"])
+
+    return by_key(rows, "list", ["group", "table", "bucket", "part", "rep", "copies", "probes", "embedding", "codes"], body, "rep long, root long, near long")
 
 
 def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row."""
     base = written(usable_vectors(rows.select(F.col("vec_id").cast("long"), "label", "embedding")), "embed-rows")
-    vectors = written(base.where("digest is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "embed-vectors")
-    posted = written(postings(vectors), "embed-postings")
-    key = ["label", "size", "bucket"]
-    probes = posted.select(*key, F.col("rep").alias("q"))
-    met = posted.where("own").select(*key, F.col("rep").alias("p")).join(probes, key).where("p != q")
-    pairs = met.select("label", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    edges = written(verified(pairs, vectors, cosine), "embed-edges")
-    both = edges.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    near = both.join(vectors.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("near"))
-    groups = vectors.select("label", "digest", "rep", "copies").join(near, "rep", "left").join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
-    groups = written(groups.select("label", "digest", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "embed-groups")
-    found = base.select("vec_id", "label", "digest").join(groups, ["label", "digest"], "left")
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
+    equal = base.where("digest is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    vectors = written(equal.withColumn("rep", F.monotonically_increasing_id()), "embed-vectors")
+    sizes = vectors.groupBy("label", F.size("embedding").alias("size")).count().groupBy("size").agg(F.max("count")).collect()
+    rotations = {r[0]: rotations_for(r[1], r[0]) for r in sizes}
+    full = written(coded(vectors.select("rep", "label", "copies", "embedding"), rotations), "embed-codes")
+    probes = F.create_map(*[F.lit(x) for k, r in rotations.items() for x in (k, r + 1)])[F.size("embedding")] if rotations else F.lit(1)
+    full = full.withColumns({"group": F.xxhash64("label", F.size("embedding")), "probes": probes})
+    posted = full.select("rep", "group", "probes", F.posexplode("codes").alias("at", "bucket"))
+    posted = posted.select("rep", "group", F.floor(F.col("at") / F.col("probes")).cast("int").alias("table"), "bucket", (F.col("at") % F.col("probes") == 0).alias("own"))
+    key = ["group", "table", "bucket"]
+    # a vector's runner-up can't be its first choice, so it stands in a bucket once
+    met = written(posted.groupBy(*key).agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("owned and n > 1").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "embed-buckets")
+    placed = posted.select("rep", *key).join(met, key).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.least("mine", "other") * F.col("parts").cast("long") + F.greatest("mine", "other")
+    placed = placed.select("rep", "table", "bucket", F.xxhash64(*key, pair).alias("list"), F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("part"))
+    found = written(block_links(placed.join(full, "rep"), cosine), "embed-links")
+    near = found.groupBy("rep").agg(F.sum("near").alias("near"))
+    reached = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
+    groups = written(vectors.drop("embedding").join(near, "rep", "left").join(reached, "rep", "left").withColumn("root", F.coalesce("component", "rep")), "embed-groups")
+    dropped(vectors, full, met, found)
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = groups.join(least, "root").select("label", "digest", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), "component_id")
+    out = base.select("vec_id", "label", "digest").join(named, ["label", "digest"], "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), component.isNull()).alias("kept"))

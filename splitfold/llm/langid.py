@@ -10,25 +10,28 @@ The frozen trees of all languages are laid over each other: ``second`` takes the
 takes a node and the byte before to a deeper node, and ``bits`` has the exact code length of each byte class at each
 node, one column for each language. Scoring a text is three array lookups a byte, whatever its length.
 
-Defined results: null text, empty text and text without a letter give ``und`` with score 0; repeated rows give
-repeated results; an empty training set gives ``und`` everywhere; ties go to the first language by code point; columns
+Contexts of three bytes that the sample has fewer than ``deep_min`` times in all languages together are left to those of
+two, which bounds the tables; code lengths are exact under the counts that are kept.
+
+Defined results: null text, empty text and text without a letter (Unicode category L) give ``und`` with score 0; repeated rows give
+repeated results, and so do repeated or null ids; an empty training set gives ``und`` everywhere; ties go to the first language by code point; columns
 other than the id, the text and the label are ignored. Long texts are scored whole, in slices that overlap by a context.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitfold.llm.common import bounded_sample, fold
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 PAD = b"\0\0\0"
 SLICE = 1 << 20
 

@@ -2,18 +2,21 @@
 
 A word's score is its log odds of standing in toxic against other documents (document frequencies under a Dirichlet
 prior with the pooled frequencies as its mean), drawn towards 0 by Z standard errors, less DRIFT, so that running
-text scores below 0. In a document the Ruzzo-Tompa scan finds every maximal-scoring segment in one pass. A segment's
-score S among n words has the extreme-value calibration E = K n exp(-lambda S), with lambda the positive root of
-E[exp(lambda s)] = 1 and K the maximum-likelihood value, both over the documents of label 0. A segment is significant
-if E < 1; it then holds ln(1 / E) nats. A document's probability is a logistic function of its strongest segment's
-nats and of the sum over all its significant segments.
+text scores below 0. Every word that the sample holds has its own log odds, above or below 0; for rare ones Z standard
+errors leave nothing of them, as for words that the sample doesn't hold. In a document the Ruzzo-Tompa scan finds every
+maximal-scoring segment in one pass. A segment's score S among n words has the extreme-value calibration
+E = K n exp(-lambda S), with lambda the positive root of E[exp(lambda s)] = 1 over the words s of documents of label 0, and
+K the maximum-likelihood value over those documents. A segment is significant if E < 1; it then holds ln(1 / E) nats. A
+document's probability is a logistic function of its strongest segment's nats and of the sum over all its significant
+segments.
 
 Everything is fitted on about ``per_class`` whole labelled documents of each class that are not held out (a bounded
 sample; the classes' true counts weigh it), and frozen.
 
 Defined results: null and empty texts and texts without a word have no segment and get the score of such documents;
-without two classes to learn from every score is 0; repeated rows give repeated results; columns other than the id and
-the text are ignored. Long texts are scanned whole: the scan's state goes on from one slice to the next.
+without two classes to learn from every score is 0; repeated rows and rows with null or repeated ids give repeated
+results; columns other than the id and the text are ignored. Long texts are scanned whole: the scan's state goes on from
+one slice to the next.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from splitfold.llm.common import bounded_sample, fold, logistic
 
-WORD = re.compile(r"[^\W\d_]+")
+#: The same rule twice: letters, and numbers that aren't decimal digits.
+WORD, JVM_WORD = re.compile(r"[^\W\d_]+"), r"([\p{L}\p{Nl}\p{No}]+)"
 Z, DRIFT, PRIOR = 1.64, 1.0, 50.0
 SLICE = 1 << 20
 
@@ -99,20 +103,36 @@ def nats(n: int, found: list[tuple[int, int, float]], calibration: tuple[float,
     return [(a, b, lam * s - shift) for a, b, s in found if lam * s > shift]
 
 
-def word_scores(sample: DataFrame) -> dict[str, float]:
-    """Scores of the words whose log odds are surely above 0; every other word has -DRIFT."""
-    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("label").alias("one"), F.sum(1 - F.col("label")).alias("zero")).where("one >= 2").collect()
+def word_scores(sample: DataFrame) -> tuple[dict[str, float], dict[float, int]]:
+    """Scores of the words whose log odds are surely not 0, every other word having -DRIFT; and how many words of the documents
+    of label 0 have each score."""
+    words = sample.select("label", F.monotonically_increasing_id().alias("row"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORD), 1)).alias("word"))
+    each = words.groupBy("row", "label", "word").count()
+    counts = each.groupBy("word").agg(F.sum("label").alias("one"), F.sum(1 - F.col("label")).alias("zero"), F.sum((1 - F.col("label")) * F.col("count")).alias("seen"))
     docs = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    n1, n0, scores = docs.get(1, 0), docs.get(0, 0), {}
-    for word, one, zero in counts:
-        a = PRIOR * (one + zero + 1) / (n1 + n0 + 2)
-        y1, y0 = one + a, zero + a
-        delta = math.log(y1 / (n1 + PRIOR - y1 + 1)) - math.log(y0 / (n0 + PRIOR - y0 + 1))
-        sure = delta - Z * math.sqrt(1 / y1 + 1 / y0)
-        if sure > DRIFT:
-            scores[word] = sure - DRIFT
-    return scores
+    n1, n0 = docs.get(1, 0), docs.get(0, 0)
+    prior = PRIOR * (F.col("one") + F.col("zero") + 1) / (n1 + n0 + 2)
+    odds = counts.withColumns({"y1": F.col("one") + prior, "y0": F.col("zero") + prior})
+    delta = F.log(F.col("y1") / (n1 + PRIOR - F.col("y1") + 1)) - F.log(F.col("y0") / (n0 + PRIOR - F.col("y0") + 1))
+    sure = F.abs("delta") - Z * F.sqrt(1 / F.col("y1") + 1 / F.col("y0"))
+    scored = odds.withColumn("delta", delta).withColumn("score", F.signum("delta") * F.greatest(sure, F.lit(0.0)) - DRIFT)
+    scores: dict[str, float] = {}
+    of_score: dict[float, int] = {}
+    for word, score, seen in scored.where(F.col("score") != -DRIFT).select("word", "score", "seen").collect():
+        scores[word] = score
+        of_score[score] = of_score.get(score, 0) + seen
+    of_score[-DRIFT] = of_score.get(-DRIFT, 0) + (scored.where(F.col("score") == -DRIFT).agg(F.sum("seen")).first()[0] or 0)
+    return scores, of_score
+
+
+def decay(of_score: dict[float, int]) -> float:
+    """lambda: the positive root of E[exp(lambda s)] = 1 over scores and their counts."""
+    s, n = np.array(list(of_score)), np.array(list(of_score.values()), float)
+    low, high = 1e-3, 5.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (n * np.expm1(np.minimum(mid * s, 50))).sum() < 0 else (low, mid)
+    return low
 
 
 def scan(docs: DataFrame, keep: list[str], scores: dict[str, float]) -> DataFrame:
@@ -139,20 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> dict | Non
     # the sample's ids are about 2 * per_class at most, so they can go to every task instead of all texts to the labels
     chosen = F.broadcast(bounded_sample(known, "doc_id", "label", per_class))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text").cache()
-    scores = word_scores(sample)
+    scores, of_score = word_scores(sample)
     seen = [(r[0], r[1], [(x[0], x[1], x[2]) for x in r[2]]) for r in scan(sample, ["label"], scores).collect()]
     sample.unpersist()
     clean = [(n, [s for _, _, s in f]) for y, n, f in seen if y == 0 and n]
-    words, hits = sum(n for n, _ in clean), [s for _, f in clean for s in f]
-
-    def excess(lam: float) -> float:
-        return sum(math.exp(min(lam * s, 50)) - 1 for s in hits) + (words - len(hits)) * (math.exp(-lam * DRIFT) - 1)
-
-    low, high = 1e-3, 5.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    calibration = (low, max(len(clean), 1) / max(sum(n * math.exp(-low * max(f, default=0)) for n, f in clean), 1e-9))
+    lam = decay(of_score)
+    calibration = (lam, max(len(clean), 1) / max(sum(n * math.exp(-lam * max(f, default=0)) for n, f in clean), 1e-9))
     x = np.array([features(nats(n, f, calibration)) for _, n, f in seen])
     y = np.array([r[0] for r in seen], float)
     taken = {k: max((y == k).sum(), 1) for k in (0, 1)}
