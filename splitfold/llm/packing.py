@@ -3,8 +3,8 @@
 Every text is tokenized once, whole. Its parts (runs of letters, digits, runs of other characters, by the tokenizer's own
 rule) are found and hashed as arrays where a word is plain (ASCII and the letters of Latin-1); words with other characters
 are taken whole. Only parts
-and words that a task hasn't met yet go to the tokenizer, which is exact as this tokenizer never joins across them; 128
-bits of hash tell them apart. Texts are kept as 16-bit ids with an end id.
+and words that a task hasn't met yet go to the tokenizer, which is exact as this tokenizer never joins across them; 64 bits
+of hash, their length and the bytes at either end tell them apart. Texts are kept as 16-bit ids with an end id.
 
 Documents are dealt by lexical affinity to shards of about ``SHARD_TOKENS`` tokens, so the number of shards follows the
 corpus and a shard always fits a task: they are ordered by their three rarest ids that another document holds too (rarest
@@ -72,7 +72,7 @@ class Encoder:
     """Texts to their 16-bit ids.
 
     The ids of words between blanks lie end to end in ``pool``; a word's number is found by its hash, and ``check`` has its
-    second hash. Words have parts (the pattern by which the tokenizer itself splits), which are kept too. New parts are
+    length and the bytes at either end. Words have parts (the pattern by which the tokenizer itself splits), which are kept too. New parts are
     encoded in one call; each ends with the one id that ends a word. Words with special tokens or characters that aren't
     printable go to the tokenizer as they are.
     """
@@ -145,7 +145,7 @@ class Encoder:
             self.clear()
         starts, ends, plain, data = units(data, offsets)
         add = lambda i: self.added(data, starts[i], ends[i], plain[i], check[i])
-        check = word_hashes(data, starts, ends, 1)
+        check = ((ends - starts) << 16 | data[starts].astype(np.int64) << 8 | data[ends - 1]).view(np.uint64)
         known, first, at = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         number = np.array([self.number.get(x, -1) for x in known.tolist()], np.int64)
         if len(new := np.flatnonzero(number < 0)):
@@ -170,13 +170,12 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # the letters of Latin-1 are the byte C3 and one of 80 to BF, of which 97 and B7 are signs and 80 to 9E upper case
     second = np.append(False, data[:-1] == 0xC3) & (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)
     letter = second | np.append(second[1:], False)
-    before = np.append(0, np.cumsum(OTHER[data] & ~letter))
-    plain = before[ends] == before[starts]
-    edge = np.zeros(len(data) + 1, np.int8)
-    edge[starts[plain]] += 1
-    edge[ends[plain]] -= 1
-    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-    kind = np.where(letter, 1, KIND[data])
+    plain = np.ones(len(starts), bool)
+    plain[np.searchsorted(starts, np.flatnonzero(OTHER[data] & ~letter), "right") - 1] = False
+    inside = ~BLANK[data]
+    inside[ranges(starts[~plain], (ends - starts)[~plain])] = False
+    kind = KIND[data]
+    kind[letter] = 1
     begin = inside.copy()
     begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
     begin[starts[plain]] = True

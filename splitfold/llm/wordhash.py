@@ -17,8 +17,9 @@ import pyarrow as pa
 PIECE, SLICE = 1 << 18, 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240503)
-BYTES = _random.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-BASES = [int(x) | 1 for x in _random.integers(0, 1 << 64, 2, dtype=np.uint64)]
+BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+BASE = int(_random.integers(0, 1 << 64, dtype=np.uint64)) | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -84,19 +85,17 @@ def powers(base: int, bits: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """The words' hashes; which: 0 or 1, two functions that have nothing in common."""
-    out = np.empty(len(starts), np.uint64)
-    base, i = BASES[which], 0
-    inverse = pow(base, -1, 1 << 64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words' hashes."""
+    out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         at = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, at + PIECE, "right")))
         part = data[at : ends[j - 1]]
         bits = max(18, int(len(part)).bit_length())
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTES[which][part] * powers(base, bits)[: len(part)], out=sums[1:])
+        np.cumsum(BYTES[part] * powers(BASE, bits)[: len(part)], out=sums[1:])
         a, b = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[b] - sums[a]) * powers(inverse, bits)[a]
+        out[i:j] = (sums[b] - sums[a]) * powers(INVERSE, bits)[a]
         i = j
     return mixed(out)
