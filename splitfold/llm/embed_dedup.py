@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from splitfold.llm.common import by_key, dropped, written
 from splitfold.llm.components import components
@@ -113,7 +113,7 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
 
 def coded(vectors: DataFrame, rotations: dict[int, int]) -> DataFrame:
     """(rep, label, copies, embedding, codes): codes has the vector's own bucket and its probes for each table."""
-    schema = vectors.schema.add("codes", ArrayType(LongType()))
+    schema = StructType([*vectors.schema.fields, StructField("codes", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

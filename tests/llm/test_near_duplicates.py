@@ -207,7 +207,9 @@ def test_chunk_ends_move_little():
     assert max(np.diff(chunkdedup.chunk_ends(np.full(9000, 97, np.uint8)), prepend=0)) <= chunkdedup.MAX_CHUNK
 
 
-def test_embeddings_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_embeddings_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
     rnd = np.random.default_rng(6)
     base = rnd.normal(size=(30, 24))
     vectors = [base[k % 30] + rnd.normal(size=24) * rnd.choice([0, 0.02, 0.1, 0.18]) for k in range(200)]
@@ -226,3 +228,22 @@ def test_embeddings_against_all_pairs(spark):
     assert len(links) > 100
     assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (n[i], want[i]) for i in want}
     assert embed_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=32) + 0.075 * rnd.normal(size=(500, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98).sum(1) - 1
+    rows = {r["vec_id"]: r for r in embed_dedup.link(spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")).collect()}
+    got = np.array([rows[i]["n_links"] for i in range(500)])
+    assert 0 < near.sum() < 500 * 499 and np.all(got <= near) and got.sum() >= 0.999 * near.sum()
+
+
+def test_embeddings_of_null_and_repeated_ids(spark):
+    v = [[1.0, 0.01 * k, 0.0, 0.0] for k in range(3)] + [[0.0, 0.0, 1.0, 0.0]]
+    rows = [(1, v[0]), (1, v[1]), (2, v[2]), (None, v[0]), (None, v[3]), (7, None)]
+    found = embed_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))).collect()
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in found))
+    assert got == [(0, 0, 0, True), (0, 3, 1, False), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (7, 0, 7, True)]

@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from splitfold.llm import langid, mixing, packing, pii, quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,15 +123,52 @@ def test_mixing(spark, make, text_of, awkward):
 
 def test_slots_are_permutations(spark):
     rows = [("k", e, b, n) for e in (0, 1) for n in (1, 2, 7, 100) for b in range(n)]
-    df = spark.createDataFrame(rows, "key string, epoch int, block long, n_blocks long")
+    df = spark.createDataFrame(rows, "key string, epoch int, block long, n_blocks long").withColumn("slot", F.col("block"))
     got = {}
-    for r in mixing.slot_in_epoch(df).collect():
+    for r in mixing.permuted(df, "slot", "n_blocks", ["key", "epoch"]).collect():
         got.setdefault((r["epoch"], r["n_blocks"]), {})[r["block"]] = r["slot"]
     for (_, n), slots in got.items():
         assert sorted(slots.values()) == list(range(n)) and sorted(slots) == list(range(n))
     assert got[0, 100] != got[1, 100] and sum(b == s for b, s in got[0, 100].items()) < 10
 
 
+def test_shards_draw_their_sources(make, text_of, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    monkeypatch.setattr(mixing, "EXPLODED", 64)
+    docs = make([text_of(k, 10 + k % 60) for k in range(600)], sources=["abc"[k % 5 % 3] for k in range(600)])
+    rows = docs.select("doc_id", "source", mixing.n_words("text").alias("size"), F.lit(0).alias("tie")).withColumn("row", F.monotonically_increasing_id())
+    places, sources = mixing.placed(mixing.sized(rows))
+    of = {r["key"]: r for r in sources.collect()}
+    drawn, held, shards = {}, {}, {}
+    for r in mixing.shards(places, sources).collect():
+        drawn.setdefault((r["shard"], r["place"]), set()).add((r["key"], r["epoch"], r["block"]))
+        held[r["key"], r["epoch"], r["block"]] = held.get((r["key"], r["epoch"], r["block"]), 0) + r["words"]
+    total = sum(r["n_slots"] for r in of.values())
+    assert sorted(drawn) == [(k // 50, k % 50) for k in range(total)] and all(len(x) == 1 for x in drawn.values())
+    assert all(n == min(8, of[k]["source_size"] - 8 * b) for (k, _, b), n in held.items())
+    for k, r in of.items():  # each epoch holds each block once, the last epoch some of them
+        epochs = Counter(e for x, e, _ in held if x == k)
+        assert sum(epochs.values()) == r["n_slots"] and all(n == r["n_blocks"] for e, n in epochs.items() if e < max(epochs))
+    for (shard, _), ((key, _, _),) in ((x, tuple(y)) for x, y in drawn.items()):
+        shards.setdefault(shard, Counter())[key] += 1
+    whole = [c for n, c in shards.items() if n < total // 50]
+    chi = sum((c[k] - 50 * r["n_slots"] / total) ** 2 / (50 * r["n_slots"] / total) for c in whole for k, r in of.items())
+    freedom = len(whole) * (len(of) - 1)
+    assert len(whole) > 20 and abs(chi - freedom) < 4 * (2 * freedom) ** 0.5
+
+
+def test_mixing_of_null_and_repeated_ids(spark, text_of):
+    text = text_of(1, 200)
+    docs = spark.createDataFrame([(None, text, "a"), (None, text, "a"), (1, text, "a"), (1, text, "a"), (1, text_of(2, 150), "b"), (2, None, None)], "doc_id long, text string, source string")
+    rows = mixing.taken_words(docs).collect()
+    assert len(rows) == 6 and all(r["taken"] <= 3 * r["size"] for r in rows)
+    for source, size in (("a", 800), ("b", 150)):
+        taken = sum(r["taken"] for r in rows if r["source_size"] == size)
+        assert abs(taken - next(r["target"] for r in rows if r["source_size"] == size)) <= mixing.BLOCK, source
+    assert sum(len(WORD.findall(r["text"])) for r in mixing.mixed(docs).collect()) == sum(r["taken"] for r in rows)
+
+
 def test_packing_round_trip(make, text_of, awkward):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -258,9 +297,21 @@ def test_toxicity_on_held_out_rows(spark, make, text_of, awkward):
     assert {r["score"] for r in toxicity.score(docs, None, ["doc_id"]).collect()} == {0.0}
 
 
-def ppm_bits(training, data, order=3):
-    """Code length by the definition, for contexts that are never pruned."""
-    counts = {}
+def test_every_word_has_its_own_log_odds(spark):
+    rows = [("vile day", 1)] * 30 + [("fine day", 0)] * 60 + [("rare", 0), ("odd", 1)]
+    scores, of_score = toxicity.word_scores(spark.createDataFrame(rows, "text string, label int"))
+    assert scores["vile"] > 0 > -toxicity.DRIFT > scores["fine"] and "rare" not in scores and "odd" not in scores
+    assert sum(of_score.values()) == 121 and of_score[scores["fine"]] == 60 and of_score[scores["vile"]] == 0
+    counts = {-1.0: 900, 0.5: 50, 1.5: 30, -2.5: 20}
+    lam = toxicity.decay(counts)
+    assert lam > 0 and sum(n * np.exp(lam * x) for x, n in counts.items()) == pytest.approx(1000, rel=1e-6)
+
+
+def ppm_bits(training, data, order=3, least=1, every=()):
+    """Code length by the definition; contexts of three bytes that all training texts have fewer than least times don't count."""
+    counts, seen = {}, Counter()
+    for t in [langid.PAD + t for t in every]:
+        seen.update(t[i - 3 : i] for i in range(3, len(t)))
     for t in training:
         t = langid.PAD + t
         for i in range(3, len(t)):
@@ -271,7 +322,7 @@ def ppm_bits(training, data, order=3):
         p = 1.0
         for k in range(order, -1, -1):
             c = counts.get(data[i - k : i])
-            if c is None:
+            if c is None or k == 3 and seen[data[i - k : i]] < least and every:
                 continue
             n, d = sum(c.values()), len(c)
             if data[i] in c:
@@ -284,8 +335,10 @@ def ppm_bits(training, data, order=3):
     return bits
 
 
-def test_code_lengths_are_exact(monkeypatch):
-    training = {"x": [b"abracadabra", b"abba"], "y": [b"xyzzy", b"quux abra"]}
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_code_lengths_are_exact(monkeypatch, least):
+    training = {"x": [b"abracadabra", b"abba", b"abracadabra abra"], "y": [b"xyzzy", b"quux abra"]}
+    every = [t for texts in training.values() for t in texts]
     counts = []
     for lang, texts in training.items():
         grams = Counter()
@@ -293,9 +346,9 @@ def test_code_lengths_are_exact(monkeypatch):
             t = langid.PAD + t
             grams.update(int.from_bytes(t[i - 3 : i + 1], "big") for i in range(3, len(t)))
         counts += [(lang, g, n) for g, n in grams.items()]
-    trees = langid.build_trees(counts, deep_min=1)
+    trees = langid.build_trees(counts, deep_min=least)
     for data in (b"abra", b"zzz", b"\xff\x00 abra xyzzy q", b"a" * 50):
-        want = [ppm_bits(training[k], data) for k in ("x", "y")]
+        want = [ppm_bits(training[k], data, least=least, every=every) for k in ("x", "y")]
         assert trees.code_lengths(data) == pytest.approx(want, rel=1e-4)
         monkeypatch.setattr(langid, "SLICE", 3)
         assert trees.code_lengths(data) == pytest.approx(want, rel=1e-4)
@@ -311,6 +364,8 @@ def test_language_on_held_out_rows(make, awkward):
     trees = langid.fit(docs)
     rows = {r["doc_id"]: r for r in langid.identify(docs, trees, ["doc_id"]).collect()}
     assert all(rows[k]["lang_pred"] == langs[k] and 0.5 <= rows[k]["score"] <= 1 for k in range(200))
+    odd = make(["½ 12", "² Ⅷ", "ª", "x"])
+    assert [r["lang_pred"] == "und" for r in langid.identify(odd, trees, ["doc_id"]).orderBy("doc_id").collect()] == [True, True, False, False]
     letterless = [200 + k for k, t in enumerate(awkward) if not any(c.isalpha() for c in t or "")]
     assert all(rows[k]["lang_pred"] == "und" and rows[k]["score"] == 0 for k in letterless)
     kept = langid.accepted(docs, trees)
