@@ -108,9 +108,8 @@ def line_brute(texts):
     return gone
 
 
-@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 16384, 16384), (1, 16384, 16384), (2, 2, 3)])
-def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, crowd, block):
-    monkeypatch.setattr(linededup, "LIMIT", limit)
+@pytest.mark.parametrize(("crowd", "block"), [(16384, 16384), (2, 3)])
+def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, crowd, block):
     monkeypatch.setattr(linededup, "CROWD", crowd)
     monkeypatch.setattr(linededup, "BLOCK", block)
     rnd, texts = random.Random(8), list(awkward)
@@ -127,9 +126,8 @@ def test_lines_against_all_pairs(make, text_of, awkward, monkeypatch, limit, cro
     assert got == {i: want[i] for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("limit", "crowd", "block"), [(8, 16384, 16384), (1, 16384, 16384), (2, 2, 3)])
-def test_copies_around_a_near_copy_keep_the_first(make, text_of, monkeypatch, limit, crowd, block):
-    monkeypatch.setattr(linededup, "LIMIT", limit)
+@pytest.mark.parametrize(("crowd", "block"), [(16384, 16384), (2, 3)])
+def test_copies_around_a_near_copy_keep_the_first(make, text_of, monkeypatch, crowd, block):
     monkeypatch.setattr(linededup, "CROWD", crowd)
     monkeypatch.setattr(linededup, "BLOCK", block)
     lines = [text_of(k, 20) for k in range(8)]
@@ -233,7 +231,7 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, block):
 def test_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 64)
     rnd = np.random.default_rng(2)
-    x = rnd.normal(size=32) + 0.075 * rnd.normal(size=(500, 32))
+    x = rnd.normal(size=32) + 0.14 * rnd.normal(size=(500, 32))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (unit @ unit.T >= 0.98).sum(1) - 1
     rows = {r["vec_id"]: r for r in embed_dedup.link(spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")).collect()}
