@@ -7,16 +7,20 @@ mixing       texts become the words that the mix to target weights takes of them
 packing      pieces of the documents in windows of 4096 tokens
 
 Every stage but the last returns the columns of documents. Stages are written as Parquet to the shared folder and read
-again, so a lost executor costs tasks of one stage at most.
+again, so a lost executor costs tasks of one stage at most; a table goes when the next stage is written.
+
+Defined results: null, empty and blank texts have no letter, so they go with the language; a document without a language
+label is judged like others; rows with a null or repeated id are documents of their own, and of rows that repeat an id and
+a text one stays after minhash; ties are broken by the least id; long texts are used whole; an empty table gives an empty
+result of each stage; further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from splitfold.llm import langid, linededup, minhash, mixing, packing
-from splitfold.llm.common import documents, written
+from splitfold.llm.common import documents, dropped, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    return minhash.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
