@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitfold.session import scratch
 
 def task_of(pos: Column, n: Column, tasks: int) -> Column:
     """The task of a position in [0, n) when n positions go to ``tasks`` near-equal ranges, longer ones first."""
@@ -65,7 +66,8 @@ class Problem:
 
     is_leaf: predicate on a task's columns; divide: task columns -> array column of sub-task structs; solve: leaf
     columns -> result column (a column expression or a pandas UDF applied to columns); combine: aggregate over the
-    children's column ``result``; guard: leaves for which it is false aren't run and have a null result.
+    children's column ``result``; guard: leaves for which it is false aren't run and have a null result; empty: the result
+    of a task that divides into no (or null) sub-tasks, null by default. Every task has a row in the result.
     """
 
     is_leaf: Callable[[DataFrame], Column]
@@ -73,11 +75,13 @@ class Problem:
     solve: Callable[[DataFrame], Column]
     combine: Callable[[Column], Column]
     guard: Callable[[DataFrame], Column] | None = None
+    empty: Column | None = None
     max_depth: int = 64
 
     def run(self, tasks: DataFrame) -> DataFrame:
         """The tasks with ``result``. Each level is one stage, and its number of rows is the number of its tasks."""
         columns = tasks.columns
+        scratch(tasks.sparkSession)  # checkpoints need a folder
         level = tasks.withColumn("stamp", F.array(F.monotonically_increasing_id())).checkpoint()
         roots, solved = level, None
         for _ in range(self.max_depth):
@@ -89,7 +93,10 @@ class Problem:
             inner = level.where(~self.is_leaf(level))
             if inner.isEmpty():
                 break
-            parts = inner.select("stamp", F.posexplode(self.divide(inner)).alias("child", "task"))
+            divided = inner.select("stamp", self.divide(inner).alias("parts"))
+            hollow = divided.where(F.coalesce(F.size("parts"), F.lit(0)) < 1).select("stamp")
+            solved = solved.unionAll(hollow.withColumn("result", F.lit(None) if self.empty is None else self.empty))
+            parts = divided.select("stamp", F.posexplode("parts").alias("child", "task"))
             level = parts.select("task.*", F.concat("stamp", F.array(F.col("child").cast("long"))).alias("stamp")).select(*columns, "stamp").checkpoint()
         else:
             raise RuntimeError(f"not solved in {self.max_depth} levels")
@@ -98,4 +105,4 @@ class Problem:
         for d in range(depth, 1, -1):
             below = solved.where(F.size("stamp") == d).select(F.slice("stamp", 1, d - 1).alias("stamp"), "result")
             solved = solved.where(F.size("stamp") < d).unionAll(below.groupBy("stamp").agg(self.combine(F.col("result")).alias("result"))).checkpoint()
-        return roots.join(solved, "stamp").drop("stamp")
+        return roots.join(solved, "stamp", "left").drop("stamp")

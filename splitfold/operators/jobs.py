@@ -53,25 +53,36 @@ def below(jobs: DataFrame, roots: DataFrame, with_self: bool = True) -> DataFram
     return jobs.join(hit.select("path").distinct(), "path", "left_semi")
 
 
-def marked(jobs: DataFrame, roots: DataFrame, with_self: bool = True) -> DataFrame:
-    """All jobs with ``hit``: whether they are under any of the roots."""
-    hit = below(jobs, roots, with_self).select("path", F.lit(True).alias("hit"))
-    return jobs.join(hit, "path", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-
-
-def kill_children(jobs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Jobs whose parent is under one of the roots, or aborted, become aborted; wherever they are."""
-    aborted_parents = jobs.where("aborted").select("path")
-    out = marked(jobs, roots.select("path").unionAll(aborted_parents), with_self=False)
+def marked(jobs: DataFrame, root: Column, with_self: bool = True) -> DataFrame:
+    """All jobs with ``hit``: whether they are under any job for which root holds.
+
+    The table is read twice, for the jobs and for the roots. A job goes to each of its prefixes once, and its marks come
+    back by one aggregate that carries the row; paths are unique.
+    """
+    roots = jobs.where(root).select(F.col("path").alias("ancestor"), F.lit(True).alias("hit"))
+    up = jobs.withColumn("ancestor", F.explode_outer(prefixes(F.col("stamp"), with_self))).join(roots, "ancestor", "left")
+    rest = [c for c in jobs.columns if c != "path"]
+    found = up.groupBy("path").agg(*[F.first(c).alias(c) for c in rest], F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
+    return found.select(*jobs.columns, "hit")
+
+
+def kill_children(jobs: DataFrame, root: Column) -> DataFrame:
+    """Jobs whose parent is under a job for which root holds, or under an aborted one, become aborted; wherever they are."""
+    out = marked(jobs, root | F.col("aborted"), with_self=False)
     return out.withColumn("aborted", F.col("aborted") | F.col("hit")).drop("hit")
 
 
 def kill_owner(jobs: DataFrame, owner: int) -> DataFrame:
     """Jobs of an owner that is gone, and all below them, become aborted."""
-    out = marked(jobs, jobs.where(F.col("owner") == owner))
+    out = marked(jobs, F.col("owner") == owner)
     return out.withColumn("aborted", F.col("aborted") | F.col("hit")).drop("hit")
 
 
+def kill_outstanding(jobs: DataFrame) -> DataFrame:
+    """All jobs that haven't finished become aborted."""
+    return jobs.withColumn("aborted", F.col("aborted") | (F.col("state") != FINISHED))
+
+
 def redo_stolen(jobs: DataFrame, stealer: int) -> DataFrame:
     """Jobs that a lost node had stolen go back to the end of the queue."""
     lost = (F.col("state") == STOLEN) & (F.col("stealer") == stealer)

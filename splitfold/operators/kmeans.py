@@ -1,7 +1,8 @@
 """k-means with fixed-point sums, so that results don't depend on how points are partitioned.
 
-Centres are a literal array: their number is a parameter and small against the data. One step is one partial and final
-aggregation over (cluster, dimension sums); points are never moved.
+Few centres are a literal array; more than LITERALS numbers are one broadcast row, as plans don't hold so many literals, and
+come back from a step as one array of sums for each cluster. One step is one partial and final aggregation over the
+clusters; points are never moved.
 """
 
 from __future__ import annotations
@@ -13,21 +14,32 @@ from pyspark.sql import functions as F
 
 from splitfold.functions.numbers import distance, hundredths, rounded_mean
 
-STOP, MAX_STEPS = 0.01, 500
+STOP, MAX_STEPS, LITERALS = 0.01, 500, 2000
 
 
 def literal(centres: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
 
 
-def nearest(point: Column, centres: list[list[float]]) -> Column:
+def nearest(point: Column, centres: Column) -> Column:
     """struct(distance, cluster) of the nearest centre; the lowest index wins ties."""
-    each = F.transform(literal(centres), lambda c, i: F.struct(distance(c, point).alias("distance"), i.alias("cluster")))
+    each = F.transform(centres, lambda c, i: F.struct(distance(c, point).alias("distance"), i.alias("cluster")))
     return F.array_min(each)
 
 
 def assign(points: DataFrame, centres: list[list[float]], point: str = "point") -> DataFrame:
-    return points.withColumn("near", nearest(F.col(point), centres)).withColumns({"cluster": F.col("near.cluster"), "distance": F.col("near.distance")}).drop("near")
+    """The points with the index of the nearest centre and its distance."""
+    rows, held = points, literal(centres) if len(centres) * len(centres[0]) <= LITERALS else F.col("__centres")
+    if len(centres) * len(centres[0]) > LITERALS:
+        one = points.sparkSession.createDataFrame([([[float(x) for x in c] for c in centres],)], "__centres array<array<double>>")
+        rows = points.crossJoin(F.broadcast(one))  # one row, as large as the centres
+    near = rows.withColumn("near", nearest(F.col(point), held))
+    return near.withColumns({"cluster": F.col("near.cluster"), "distance": F.col("near.distance")}).drop("near", "__centres")
+
+
+def total_distance(points: DataFrame, centres: list[list[float]], point: str = "point") -> DataFrame:
+    """(n, distance): the sum of all points' distances to their nearest centre, each rounded to hundredths."""
+    return assign(points, centres, point).agg(F.count("*").alias("n"), F.sum(hundredths(F.col("distance"))).alias("distance"))
 
 
 def step(points: DataFrame, centres: list[list[float]], point: str = "point") -> DataFrame:

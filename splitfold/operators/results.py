@@ -46,17 +46,42 @@ def dereference(results: DataFrame, dead: DataFrame, key: str) -> DataFrame:
 
 
 class Checkpoints:
-    """An append-only Parquet folder of (path, stamp, value, sender, seq)."""
+    """An append-only Parquet folder of (path, stamp, value, sender, seq), in generations.
+
+    Rows are appended to the current generation, which is the highest one whose folder has Spark's mark of a finished
+    write. ``compress`` writes the next one; the mark, which Spark puts there last, is what makes it current. So whenever it
+    stops, the one or the other is whole: an unfinished next generation is ignored and written anew, and older ones that
+    were left over go with the next ``compress``.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _path(self, generation: int, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log-{generation}{name}")
+
+    def _files(self):
+        return self._path(0).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def generations(self) -> list[int]:
+        """The finished ones, oldest first."""
+        top = self._path(0).getParent()
+        names = [f.getPath().getName() for f in self._files().listStatus(top)] if self._files().exists(top) else []
+        found = [int(n[4:]) for n in names if n.startswith("log-") and n[4:].isdigit()]
+        return sorted(n for n in found if self._files().exists(self._path(n, "/_SUCCESS")))
+
+    def exists(self) -> bool:
+        return bool(self.generations())
+
+    def _current(self) -> str:
+        return f"{self.folder}/log-{max(self.generations(), default=0)}"
+
     def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/log")
+        rows.write.mode("append").parquet(self._current())
 
     def read(self, senders: list[int] | None = None) -> DataFrame:
         """All rows, or those of some senders; files that can't be read are left out, what came before them stays."""
-        rows = self.spark.read.option("ignoreCorruptFiles", "true").parquet(f"{self.folder}/log")
+        rows = self.spark.read.option("ignoreCorruptFiles", "true").parquet(self._current())
         return rows if senders is None else rows.where(F.col("sender").isin(senders))
 
     def take(self, finished: DataFrame) -> None:
@@ -64,19 +89,12 @@ class Checkpoints:
         known = self.read().select("path") if self.exists() else None
         self.append(finished if known is None else finished.join(known, "path", "left_anti"))
 
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def compress(self) -> None:
-        """Rewrites the log with ``compacted``: written beside it, then renamed, so a crash leaves one whole log."""
-        compacted(self.read()).write.parquet(f"{self.folder}/log_new")
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        log, new = jvm.Path(f"{self.folder}/log"), jvm.Path(f"{self.folder}/log_new")
-        fs = log.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(log, True)
-        if not fs.rename(new, log):
-            raise OSError(f"{new} could not be renamed")
+        """Rewrites the log with ``compacted`` as the next generation."""
+        old = self.generations()
+        compacted(self.read()).write.mode("overwrite").parquet(f"{self.folder}/log-{max(old) + 1}")
+        for generation in old:
+            self._files().delete(self._path(generation), True)
 
     def resume(self, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(jobs with their earlier result, jobs that remain)."""

@@ -20,9 +20,45 @@ def fold_min(log: DataFrame, value: str) -> DataFrame:
     return log.groupBy("object_id").agg(F.min(value).alias("state"), F.count("*").alias("n_updates"))
 
 
+def running(log: DataFrame, value: str, key: str, fold: Callable[[Column], Column], pick: Callable[..., Column], span: int = 4096) -> DataFrame:
+    """The log with ``state``: the least or greatest value of a key up to each update.
+
+    In two steps, so that no key's log lies in one task: the extreme of each stretch of ``span`` numbers of seq, which
+    combines before the shuffle, over stretches before; then the updates inside a stretch. fold and pick are F.min and
+    F.least, or F.max and F.greatest.
+    """
+    rows = log.withColumn("__stretch", F.floor(F.col("seq") / span))
+    whole = rows.groupBy(key, "__stretch").agg(fold(F.col(value)).alias("__own"))
+    before = fold(F.col("__own")).over(W.partitionBy(key).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1))
+    earlier = whole.select(key, "__stretch", before.alias("__before"))
+    inside = fold(F.col(value)).over(W.partitionBy(key, "__stretch").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    found = rows.withColumn("__inside", inside).join(earlier, [key, "__stretch"])
+    return found.select(*log.columns, pick("__inside", "__before").alias("state"))
+
+
 def running_min(log: DataFrame, value: str) -> DataFrame:
     """The log with the minimum after each update."""
-    return log.withColumn("state", F.min(value).over(W.partitionBy("object_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
+    return running(log, value, "object_id", F.min, F.least)
+
+
+def bounded_rounds(tasks: DataFrame, rounds: int) -> list[tuple[int, int, int | None]]:
+    """(round, tasks run, bound after it) when the tasks (round, lower, value) of a round are run only if their lower limit is
+    below the least value of all rounds before; one row of each round comes to the driver."""
+    bound, out = None, []
+    for k in range(rounds):
+        ready = tasks.where(F.col("round") == k)
+        n, least = ready.where(F.lit(True) if bound is None else F.col("lower") < bound).agg(F.count("*"), F.min("value")).first()
+        bound = least if bound is None or (least is not None and least < bound) else bound
+        out.append((k, n, bound))
+    return out
+
+
+def fold_cleared(log: DataFrame, value: str, clears: str) -> DataFrame:
+    """(object_id, state, n): the sum of the values after the last update of the method that clears; both steps combine before
+    the shuffle."""
+    last = log.where(F.col("method") == clears).groupBy("object_id").agg(F.max("seq").alias("__cleared"))
+    after = F.when(F.col("__cleared").isNull() | (F.col("seq") > F.col("__cleared")), F.col(value)).otherwise(0)
+    return log.join(last, "object_id", "left").groupBy("object_id").agg(F.sum(after).alias("state"), F.count("*").alias("n"))
 
 
 def fold_last(log: DataFrame, value: str) -> DataFrame:

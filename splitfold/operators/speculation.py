@@ -24,16 +24,17 @@ def any_position(rows: DataFrame, pos: str, value: str, wanted: int) -> DataFram
 
 
 def first_of(spark: SparkSession, jobs: list[Callable[[], object]], on_error: Callable[[Exception, int], object] | None = None) -> object:
-    """The first result that is not None, of jobs that run side by side; the others are cancelled by their job tag.
+    """The first result that is not None, of jobs that run side by side; the others are cancelled by their job group, with the
+    Spark jobs that they would start later.
 
     An exception of a job goes to on_error(exception, job), whose result counts as the job's; without a handler it is
     raised once no other job has a result. Found gives its value as the result.
     """
-    sc, tag = spark.sparkContext, f"first-{uuid.uuid4().hex}"
+    sc, group = spark.sparkContext, f"first-{uuid.uuid4().hex}"
     results: list[tuple[int, object, Exception | None]] = []
 
     def run(k: int) -> None:
-        sc.addJobTag(tag)
+        sc.setJobGroup(f"{group}-{k}", "one of several", interruptOnCancel=True)
         try:
             results.append((k, jobs[k](), None))
         except Found as e:
@@ -41,7 +42,9 @@ def first_of(spark: SparkSession, jobs: list[Callable[[], object]], on_error: Ca
         except Exception as e:  # noqa: BLE001
             results.append((k, None, e))
         if results[-1][1] is not None:
-            sc.cancelJobsWithTag(tag)
+            for other in range(len(jobs)):
+                if other != k:
+                    sc._jsc.sc().cancelJobGroupAndFutureJobs(f"{group}-{other}")
 
     threads = [InheritableThread(target=run, args=(k,)) for k in range(len(jobs))]
     for t in threads:

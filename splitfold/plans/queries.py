@@ -11,8 +11,8 @@ from splitfold.functions import numbers
 from splitfold.operators import divide, jobs, kmeans, results, shared, speculation, stats
 from splitfold.plans import model
 from splitfold.plans.model import JOBS, LOG, NODE_STATS, POINTS, RESULTS
-from splitfold.session import table
-from splitfold.sources.vectors import random_array
+from splitfold.session import scratch, table
+from splitfold.sources.vectors import random_array, read_centres, read_points, write_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,10 +71,40 @@ def dc_sum_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").agg(numbers.fixed_sum(F.col("l_extendedprice")).alias("total"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS least, true AS in_bound FROM range(20000)")
+@query("""WITH a AS (SELECT range AS pos, ((range % 2147483648) * 1103515245 + 12345) % 2147483648 AS first FROM range(2000000)),
+b AS (SELECT pos, ((first // 8) * 48271 + first % 8) % 2147483647 % 1000000 AS value FROM a)
+SELECT value // 10000 AS part, count(*)::BIGINT AS n, sum(value)::BIGINT AS total, min(pos)::BIGINT AS first_pos, max(value)::BIGINT AS most FROM b GROUP BY 1""")
 def random_array_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = random_array(spark, 20_000, 100)
-    return a.agg(F.count("*").alias("n"), F.min("value").alias("least"), (F.max("value") < 100).alias("in_bound"))
+    a = random_array(spark)
+    return a.groupBy(F.floor(F.col("value") / 10000).alias("part")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("pos").alias("first_pos"), F.max("value").alias("most"))
+
+
+@query("""WITH RECURSIVE f(n, a, b) AS (SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 12) SELECT n, a AS result FROM f""")
+def problem_fibonacci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two unequal sub-problems at each level, solved as rows."""
+    one = lambda k: F.struct((F.col("n") - k).alias("n"))
+    problem = divide.Problem(lambda t: t["n"] < 2, lambda t: F.array(one(1), one(2)), lambda t: t["n"], F.sum)
+    return problem.run(spark.range(13).select(F.col("id").alias("n")))
+
+
+@query("""SELECT k AS task, CASE WHEN k = 3 THEN -1 ELSE (SELECT coalesce(min(event_id), -1) FROM events WHERE user_id = k) END::BIGINT AS first_pos FROM (SELECT range AS k FROM range(5))""")
+def problem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks (wanted value) are halved into ranges of positions, a leaf finds its first position, task 3 has nothing to divide."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    n = events.agg((F.max("event_id") + 1).alias("n"))
+    tasks = spark.range(5).select(F.col("id").alias("task"), F.lit(0).cast("long").alias("lo")).crossJoin(F.broadcast(n)).withColumnRenamed("n", "hi")  # one row
+    tasks = tasks.withColumn("hi", F.when(F.col("task") == 3, 0).otherwise(F.col("hi")))
+    found = events.groupBy("user_id").agg(F.min("event_id").alias("first")).where("user_id < 5")
+    held = F.broadcast(found.agg(F.map_from_entries(F.collect_list(F.struct("user_id", "first"))).alias("firsts")))  # five entries
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2)
+    part = lambda a, b: F.struct("task", a.alias("lo"), b.alias("hi"), "firsts")
+    halves = F.when(F.col("hi") > F.col("lo"), F.array(part(F.col("lo"), middle), part(middle, F.col("hi"))))
+    at = F.element_at("firsts", F.col("task"))
+    problem = divide.Problem(
+        is_leaf=lambda t: (t["hi"] - t["lo"] <= 2500) & (t["task"] != 3), divide=lambda t: halves,
+        solve=lambda t: F.when((at >= F.col("lo")) & (at < F.col("hi")), at), combine=F.min, empty=F.lit(-1).cast("long"),
+    )
+    return problem.run(tasks.crossJoin(held)).select("task", F.coalesce("result", F.lit(-1)).alias("first_pos"))
 
 
 # k-means
@@ -99,6 +129,23 @@ def kmeans_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.floor(F.sum(numbers.distance(old, new)) * 10000 + 0.5).cast("long").alias("shift"))
 
 
+@query(f"WITH {POINTS} SELECT count(*)::BIGINT AS n, sum(floor(d * 100 + 0.5)::BIGINT)::BIGINT AS distance FROM (SELECT id, min(sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y))) AS d FROM points, centres GROUP BY id)")
+def kmeans_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.total_distance(model.points(spark, sf_dir), model.CENTRES)
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(floor(l_quantity * 100 + 0.5)::BIGINT)::BIGINT AS x, sum(floor(l_extendedprice * 100 + 0.5)::BIGINT)::BIGINT AS y, 5::BIGINT AS centres FROM lineitem")
+def vectors_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and centres written as text, one vector for each line, and read again."""
+    folder = scratch(spark)
+    points = table(spark, sf_dir, "lineitem").select(F.array("l_quantity", "l_extendedprice").alias("point"))
+    write_vectors(points, "point", f"{folder}/points")
+    write_vectors(spark.createDataFrame([(c,) for c in model.CENTRES], "point array<double>").coalesce(1), "point", f"{folder}/centres")
+    centres = read_centres(spark, f"{folder}/centres/*.txt")
+    read = read_points(spark, f"{folder}/points")
+    return read.agg(F.count("*").alias("n"), *[F.sum(numbers.hundredths(F.get("point", F.lit(d)))).alias(c) for d, c in enumerate("xy")], F.lit(len(centres)).cast("long").alias("centres"))
+
+
 @query()
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres, steps = kmeans.fit(model.points(spark, sf_dir), model.CENTRES)
@@ -152,7 +199,12 @@ hit AS (SELECT DISTINCT pre.path FROM pre JOIN r ON pre.a = r.path)
 SELECT path, state, owner, (aborted OR path IN (SELECT path FROM hit)) AS aborted FROM jobs""")
 def kill_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = model.jobs(spark, sf_dir)
-    return jobs.kill_children(j, j.where("depth = 3 AND owner = 3")).select(*JOB_COLUMNS)
+    return jobs.kill_children(j, (F.col("depth") == 3) & (F.col("owner") == 3)).select(*JOB_COLUMNS)
+
+
+@query(f"WITH {JOBS} SELECT path, state, owner, aborted OR state <> 'finished' AS aborted FROM jobs")
+def kill_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.kill_outstanding(model.jobs(spark, sf_dir)).select(*JOB_COLUMNS)
 
 
 @query(f"""WITH {JOBS}, pre AS (SELECT path, unnest(list_transform(range(1, len(stamp) + 1), lambda n: array_to_string(stamp[1:n], '.'))) AS a FROM jobs),
@@ -315,7 +367,12 @@ def orphan_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RESULTS} SELECT key, kind, value, seq FROM results WHERE owner IN (1, 4, 9)")
 def ckpt_read_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.results(spark, sf_dir).where(F.col("owner").isin(1, 4, 9)).select("key", "kind", "value", "seq")
+    """Results appended to a checkpoint in two parts, and read by sender."""
+    r = model.results(spark, sf_dir).withColumnRenamed("owner", "sender")
+    log = results.Checkpoints(spark, scratch(spark))
+    log.append(r.where("seq % 2 = 0"))
+    log.append(r.where("seq % 2 = 1"))
+    return log.read([1, 4, 9]).select("key", "kind", "value", "seq")
 
 
 CKPT = f"""WITH {JOBS}, c AS (SELECT * FROM jobs WHERE (depth = 3 AND seq % 5 = 0) OR (depth = 4 AND state = 'finished') OR (depth = 2 AND seq % 6 = 0)),
@@ -328,13 +385,21 @@ def ckpt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CKPT} SELECT path, owner FROM c WHERE path NOT IN (SELECT pre.path FROM pre JOIN c d ON pre.a = d.path)")
 def ckpt_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.compacted(ckpt_rows(spark, sf_dir)).select("path", "owner")
+    """Finished jobs taken twice, then compressed; what is read is the new generation."""
+    rows, log = ckpt_rows(spark, sf_dir), results.Checkpoints(spark, scratch(spark))
+    log.take(rows.where("depth < 4"))
+    log.take(rows)
+    log.compress()
+    return log.read().select("path", "owner")
 
 
 @query(f"{CKPT} SELECT j.path, (c.path IS NOT NULL) AS reused FROM jobs j LEFT JOIN c ON c.path = j.path")
 def ckpt_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = ckpt_rows(spark, sf_dir).select("path", F.lit(True).alias("reused"))
-    return model.jobs(spark, sf_dir).join(known, "path", "left").select("path", F.coalesce("reused", F.lit(False)).alias("reused"))
+    """Jobs that a checkpoint has, with its result, and the others, which remain."""
+    log = results.Checkpoints(spark, scratch(spark))
+    log.take(ckpt_rows(spark, sf_dir).withColumn("value", F.col("seq")))
+    reused, remaining = log.resume(model.jobs(spark, sf_dir).select("path"))
+    return reused.select("path", F.lit(True).alias("reused")).unionAll(remaining.select("path", F.lit(False)))
 
 
 @query("""WITH r AS (SELECT s_suppkey AS node, floor(abs(s_acctbal) * 100 + 0.5)::BIGINT AS t, s_suppkey % 10 AS arrival FROM supplier)
@@ -366,8 +431,20 @@ def so_fold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LOG} SELECT object_id, (sum(CASE WHEN seq > p THEN value ELSE 0 END))::BIGINT AS state, count(*)::BIGINT AS n FROM (SELECT *, coalesce(max(CASE WHEN method = 'error' THEN seq END) OVER (PARTITION BY object_id), -1) AS p FROM log) GROUP BY object_id")
 def so_fold_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object whose error method clears it and whose other methods add."""
-    write = lambda s, row: ((0 if row.method == "error" else s[0] + row.value), s[1] + 1)
-    return shared.fold(model.log(spark, sf_dir), (0, 0), write, "object_id long, state long, n long", lambda s: s)
+    return shared.fold_cleared(model.log(spark, sf_dir), "value", "error")
+
+
+@query("""WITH t AS (SELECT o_orderkey % 4 AS round, floor(o_totalprice * 100 + 0.5)::BIGINT AS value, floor(o_totalprice * 100 + 0.5)::BIGINT // 8 AS lower FROM orders),
+a AS (SELECT 0::BIGINT AS round, count(*)::BIGINT AS n, min(value) AS bound FROM t WHERE round = 0),
+b AS (SELECT 1::BIGINT AS round, count(*)::BIGINT AS n, least(min(value), min(a.bound), (SELECT bound FROM a)) AS bound FROM t, a WHERE t.round = 1 AND lower < a.bound),
+c AS (SELECT 2::BIGINT AS round, count(*)::BIGINT AS n, least(min(value), (SELECT bound FROM b)) AS bound FROM t, b WHERE t.round = 2 AND lower < b.bound),
+d AS (SELECT 3::BIGINT AS round, count(*)::BIGINT AS n, least(min(value), (SELECT bound FROM c)) AS bound FROM t, c WHERE t.round = 3 AND lower < c.bound)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""")
+def so_bounded_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of tasks, each guarded by the bound that the rounds before have found."""
+    value = numbers.hundredths(F.col("o_totalprice"))
+    tasks = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).alias("round"), value.alias("value"), F.floor(value / 8).alias("lower"))
+    return spark.createDataFrame(shared.bounded_rounds(tasks, 4), "round long, n long, bound long")
 
 
 @query(f"WITH {LOG} SELECT object_id, seq FROM log WHERE object_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
@@ -400,9 +477,12 @@ def so_combined_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # exceptions and speculation
 
 
-@query()
+@query("SELECT count(*)::BIGINT AS found, coalesce(bool_and(user_id = 42), true) AS holds FROM (SELECT user_id FROM events WHERE user_id = 42 LIMIT 1)")
 def speculative_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speculation.any_position(table(spark, sf_dir, "events"), "event_id", "user_id", 42)
+    """Which position is found is open; that there is one, and that it holds the value, isn't."""
+    events = table(spark, sf_dir, "events")
+    found = speculation.any_position(events, "event_id", "user_id", 42)
+    return found.join(events.select("event_id", "user_id"), "event_id").agg(F.count("*").alias("found"), F.coalesce(F.bool_and(F.col("user_id") == 42), F.lit(True)).alias("holds"))
 
 
 @query("SELECT count(*) FILTER (event_type = 'error')::BIGINT AS failed, count(*) FILTER (event_type <> 'error')::BIGINT AS good FROM events")
@@ -419,6 +499,13 @@ def inlet_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("result").cast("long").alias("result"), "kind")
 
 
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN event_id END::BIGINT AS result, CASE WHEN event_type <> 'error' THEN event_type END AS kind FROM events")
+def inlet_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler without a value: the error is gone, and so is the result."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("result"), F.col("event_type").alias("kind"))
+    return speculation.handled(e, [("error", None)], "kind", "result")
+
+
 # statistics and scheduling
 
 
@@ -501,7 +588,5 @@ def result_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RESULTS} SELECT seq, max(value) OVER (PARTITION BY owner ORDER BY seq) AS entries_max, owner FROM results")
 def table_max_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("owner").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return model.results(spark, sf_dir).select("seq", F.max("value").over(w).alias("entries_max"), "owner")
+    r = model.results(spark, sf_dir)
+    return shared.running(r, "value", "owner", F.max, F.greatest).select("seq", F.col("state").alias("entries_max"), "owner")

@@ -31,5 +31,8 @@ def write_vectors(vectors: DataFrame, column: str, path: str) -> None:
 
 
 def random_array(spark: SparkSession, n: int = 2_000_000, bound: int = 1_000_000, seed: int = 0) -> DataFrame:
-    """(pos, value): n whole numbers in [0, bound), the same for the same seed however they are partitioned."""
-    return spark.range(n).select(F.col("id").alias("pos"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bound)).alias("value"))
+    """(pos, value): n whole numbers in [0, bound), the same for the same seed however they are partitioned; two rounds of a
+    congruential generator, which any engine's whole-number arithmetic repeats."""
+    first = ((F.col("id") % (1 << 31) + seed) * 1103515245 + 12345) % (1 << 31)
+    second = (F.floor(first / 8) * 48271 + first % 8) % 2147483647
+    return spark.range(n).select(F.col("id").alias("pos"), (second % bound).alias("value"))

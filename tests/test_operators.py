@@ -43,6 +43,15 @@ def test_problem_divides_solves_and_combines(spark):
     assert {(r["lo"], r["hi"]): r["result"] for r in problem.run(tasks).collect()} == {(0, 1000): 499500, (5, 6): 5, (10, 10): 0}
 
 
+def test_problem_divides_into_nothing(spark):
+    tasks = spark.createDataFrame([(0,), (1,), (5,), (None,)], "x long")
+    down = lambda t: F.when(F.col("x") > 0, F.array(F.struct((F.col("x") - 1).alias("x")), F.struct((F.col("x") - 2).alias("x"))))
+    none = divide.Problem(lambda t: t["x"] < 0, down, lambda t: F.lit(1).cast("long"), F.sum)
+    assert {r["x"]: r["result"] for r in none.run(tasks.where("x IS NOT NULL")).collect()} == {0: None, 1: 1, 5: 5}
+    zero = divide.Problem(lambda t: F.coalesce(t["x"] < 0, F.lit(False)), down, lambda t: F.lit(1).cast("long"), F.sum, empty=F.lit(100).cast("long"))
+    assert {r["x"]: r["result"] for r in zero.run(tasks).collect()} == {0: 100, 1: 101, 5: 805, None: 100}
+
+
 def test_problem_guard(spark):
     tasks = spark.createDataFrame([(1,), (2,)], "x long")
     problem = divide.Problem(lambda t: F.lit(True), lambda t: F.array(F.struct("x")), lambda t: t["x"] * 10, F.sum, guard=lambda t: t["x"] > 1)
@@ -112,8 +121,10 @@ def test_job_tree(spark):
     paths = lambda df: sorted(r["path"] for r in df.collect())
     assert paths(jobs.below(j, j.where("path = '1.0'"))) == ["1.0", "1.0.0", "1.0.1"]
     assert paths(jobs.below(j, j.where("path = '1'"))) == ["1", "1.0", "1.0.0", "1.0.1", "1.1", "1.1.0"]
-    assert paths(jobs.kill_children(j, j.where("path = '1.0'")).where("aborted")) == ["1.0.0", "1.0.1", "1.1", "1.1.0"]
+    assert paths(jobs.kill_children(j, F.col("path") == "1.0").where("aborted")) == ["1.0.0", "1.0.1", "1.1", "1.1.0"]
     assert paths(jobs.kill_owner(j, 2).where("aborted")) == ["1.0", "1.0.0", "1.0.1", "1.1"]
+    assert paths(jobs.kill_outstanding(j).where("NOT aborted")) == ["1.0.0"]
+    assert jobs.kill_children(j, F.lit(False)).columns == j.columns and jobs.kill_children(j.limit(0), F.lit(True)).count() == 0
     assert paths(jobs.redo_stolen(j, 4).where("redone AND state = 'queued' AND stealer IS NULL")) == ["1.0.1"]
     assert paths(jobs.finished_children(j)) == ["1.0.0"]
     assert paths(jobs.from_head(j, 1)) == ["10"] and paths(jobs.from_tail(j, 1)) == ["1.1"]
@@ -137,11 +148,56 @@ def test_checkpoints(spark, tmp_path):
     assert [r["path"] for r in c.read([2]).collect()] == ["2"]
     c.compress()
     assert sorted(r["path"] for r in c.read().collect()) == ["1.0", "2"]
-    (tmp_path / "log/part-bad.parquet").write_bytes(b"not parquet")
+    (tmp_path / "log-1/part-bad.parquet").write_bytes(b"not parquet")
     reused, remaining = c.resume(spark.createDataFrame([("2",), ("3",)], "path string"))
     assert [tuple(r) for r in reused.collect()] == [("2", 7)] and [r["path"] for r in remaining.collect()] == ["3"]
 
 
+def test_compress_stopped_half_way(spark, tmp_path):
+    c = results.Checkpoints(spark, str(tmp_path))
+    assert not c.exists()
+    rows = spark.createDataFrame([("1", [1], 5, 1, 1), ("1.0", [1, 0], 7, 2, 2)], "path string, stamp array<long>, value long, sender int, seq long")
+    c.take(rows)
+    (tmp_path / "log-1").mkdir()  # the next generation was begun and not finished
+    (tmp_path / "log-1/part-0.parquet").write_bytes(b"half")
+    assert c.generations() == [0] and c.read().count() == 2
+    c.compress()
+    assert c.generations() == [1] and [r["path"] for r in c.read().collect()] == ["1"]
+    rows.write.parquet(str(tmp_path / "log-0"))  # or it was finished and the old one was still there
+    assert [r["path"] for r in c.read().collect()] == ["1"]
+    c.compress()
+    assert c.generations() == [2] and c.read().count() == 1
+
+
+def test_running_extremes_in_stretches(spark):
+    rnd = random.Random(4)
+    rows = [(k % 3, s, rnd.randrange(1000)) for k, s in enumerate(rnd.sample(range(5000), 400))]
+    log = spark.createDataFrame(rows, "object_id long, seq long, value long").repartition(3)
+    for span in (1, 64, 100_000):
+        got = {(r["object_id"], r["seq"]): r["state"] for r in shared.running(log, "value", "object_id", F.min, F.least, span).collect()}
+        assert got == {(o, s): min(v for p, q, v in rows if p == o and q <= s) for o, s, _ in rows}
+
+
+def test_fold_cleared(spark):
+    rows = [(1, 1, "add", 5), (1, 2, "error", 9), (1, 3, "add", 7), (1, 4, "view", 1), (2, 1, "add", 3), (3, 9, "error", 2)]
+    log = spark.createDataFrame(rows, "object_id long, seq long, method string, value long")
+    assert sorted(map(tuple, shared.fold_cleared(log, "value", "error").collect())) == [(1, 8, 4), (2, 3, 1), (3, 0, 1)]
+
+
+def test_bounded_rounds(spark):
+    tasks = spark.createDataFrame([(0, 1, 50), (0, 2, 40), (1, 45, 10), (1, 39, 60), (2, 30, 20), (3, 25, 1)], "round long, lower long, value long")
+    assert shared.bounded_rounds(tasks, 4) == [(0, 2, 40), (1, 1, 40), (2, 1, 20), (3, 0, 20)]
+
+
+def test_kmeans_with_many_centres(spark, monkeypatch):
+    points = spark.createDataFrame([([float(k % 50), 0.3 * k],) for k in range(200)], "point array<double>")
+    centres = [[float(k), float(k)] for k in range(30)]
+    few = [(r["cluster"], r["distance"]) for r in kmeans.assign(points, centres).orderBy("point").collect()]
+    monkeypatch.setattr(kmeans, "LITERALS", 10)
+    many = kmeans.assign(points, centres)
+    assert [(r["cluster"], r["distance"]) for r in many.orderBy("point").collect()] == few and many.columns == ["point", "cluster", "distance"]
+
+
 def test_fold_in_order(spark):
     log = spark.createDataFrame([(k % 3, i, (i * 7) % 10) for i, k in enumerate(range(60))], "object_id long, seq long, value long").repartition(4)
     out = shared.fold(log, 0, lambda s, row: s * 2 % 1000 + row.value, "object_id long, state long", lambda s: (s,))
@@ -170,6 +226,17 @@ def test_first_result_cancels_the_rest(spark):
     assert time.time() - began < 60
 
 
+def test_losers_start_no_further_job(spark):
+    def two():
+        time.sleep(4)  # the other one is done by then
+        spark.range(10).count()
+        return spark.range(200_000_000_000).selectExpr("sum(id * id % 7) AS s").collect()
+
+    began = time.time()
+    assert speculation.first_of(spark, [two, lambda: spark.range(7).count()]) == 7
+    assert time.time() - began < 60 and spark.range(3).count() == 3
+
+
 def test_errors_have_handlers(spark):
     def bad():
         raise KeyError("x")
