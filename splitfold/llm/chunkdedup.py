@@ -12,6 +12,8 @@ shorter ones, which any two texts may share, stay.
 The digests are counted by partial aggregation, so a passage that a third of all documents hold is one row from each
 task, and go back to the windows by a join that splits large partitions. Only digests seen twice take part.
 
+Digests of 64 bits tell windows apart: among 10^12 of them some thousands would be taken for one another.
+
 Defined results: null and empty texts have no chunk and nothing removed; of repeated rows one keeps its text, unless an
 id itself is repeated, whose rows are one place; text without a chunk end is one chunk, ended after ``MAX_CHUNK`` bytes
 wherever that is; columns with clashing names are ignored.
@@ -30,7 +32,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from splitfold.llm.common import written
 
-BITS, MAX_CHUNK, MIN_CHARS, TEXTS = 5, 1024, 100, 500
+BITS, MAX_CHUNK, MIN_CHARS, TEXTS = 6, 4096, 100, 500
 #: One pseudorandom number for each byte value, from a rule.
 GEAR = np.random.default_rng(20240501).integers(0, 1 << BITS, 256, dtype=np.uint8)
 

@@ -86,13 +86,15 @@ def permuted(rows: DataFrame, column: str, n: str, seed: list[str]) -> DataFrame
     Each of ROUNDS rounds of swap-or-not pairs x with (k - x) mod n for a key k of the round, and swaps the two or not by a
     hash of the pair.
     """
-    x = rows
-    for r in range(ROUNDS):
-        partner = F.pmod(F.xxhash64(*seed, F.lit(r)), F.col(n)) - F.col(column)
-        x = x.withColumn("partner", F.when(partner < 0, partner + F.col(n)).otherwise(partner))
-        swap = F.xxhash64(*seed, F.lit(ROUNDS + r), F.greatest(column, "partner")).bitwiseAND(1) == 1
-        x = x.withColumn(column, F.when(swap, F.col("partner")).otherwise(F.col(column)))
-    return x.drop("partner")
+    named = F.xxhash64(*seed)
+
+    def one(x: Column, r: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(named, r), F.col(n)) - x, F.col(n))
+        return F.when(F.xxhash64(named, r + ROUNDS, F.greatest(x, partner)).bitwiseAND(1) == 1, partner).otherwise(x)
+
+    # a fold and not a column for each round, whose expressions Catalyst would write into one another
+    rounds = F.array(*[F.lit(r) for r in range(ROUNDS)])
+    return rows.withColumn(column, F.aggregate(rounds, F.col(column).cast("long"), one))
 
 
 def slots(sources: DataFrame) -> DataFrame:
@@ -130,6 +132,13 @@ def taken_words(docs: DataFrame) -> DataFrame:
     return places.join(taken, "row", "left").select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def targets(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size and target for each row."""
+    rows = docs.select("doc_id", "source", n_words("text").alias("size"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"))
+    found = rows.drop("source").join(source_targets(rows), "key")
+    return found.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents with the words that the mix takes as their text; documents of which it takes none are gone.
 

@@ -2,18 +2,23 @@
 
 Four base kinds (email, ip, card, phone) are exact patterns with checks; their spans always stay. Further candidates are
 long runs of key characters (``secret``) and number groups that no base span covers (``number``). Four labelers vote on
-each candidate, 1 for, 0 against, 2 for no opinion: a pattern, a gazetteer of cue words before it, the punctuation around
-it, and its make-up of digits and letters. The corpus is aggregated to the counts of each combination of votes (at most
-2 kinds * 3^4 * 4 length classes rows). On those counts, expectation-maximisation estimates how reliable each labeler
-is for each kind (Dawid and Skene's model), and its posteriors train a logistic classifier over votes and length, which
+each candidate, 1 for, 0 against, 2 for no opinion: a pattern, a gazetteer of words in four languages among those before
+it, the punctuation around it, and its make-up of digits and letters. Beside the votes a candidate has features of its own,
+which no labeler looks at in this form: its length, the kinds of its characters, how many of them are distinct, its
+separators, and hashes of the word before it and of its first two characters' shape.
+
+The texts are matched once; each document's spans and its candidates with votes and features are written, without texts.
+The candidates are aggregated to the counts of each combination of votes and features (all of them classes, so at most
+2 * 3^4 * 4 * 4 * 4 * 3 * 16 combinations). On those counts expectation-maximisation estimates how reliable each labeler is
+for each kind (Dawid and Skene's model), and its posteriors train a logistic classifier over the features alone, which
 decides on the spans. Its weights go back into the query as literals.
 
 A text is matched where it lies, without a shuffle. The patterns are written so that a match needs no nested repetition:
 Java's engine recurses on those, and long runs of digits would overflow its stack. Places come from the lengths of the
 pieces between matches, in code points.
 
-Defined results: null and empty texts have no spans; repeated rows give repeated results; an empty table trains nothing
-and adds nothing; other columns are ignored; texts of any length are matched whole.
+Defined results: null and empty texts have no spans; repeated rows and rows with a null or repeated id give results of
+their own; an empty table trains nothing and adds nothing; other columns are ignored; texts of any length are matched whole.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import logistic
+from splitfold.llm.common import logistic, written
 
 # A match can only begin where a run of its first characters begins, or where the match before it ended (\G). Starting
 # nowhere else changes no match and keeps long runs linear.
@@ -41,10 +46,17 @@ KINDS = ["email", "ip", "card", "phone", "secret", "number"]
 
 SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}"
 NUMBER = r"\+?[0-9(][0-9().\x20/-]{5,}[0-9]"
-CUES = r"(?i)(token|secret|passw|pwd|api.?key|\bkey\b|auth|bearer|credential|phone|\btel|call|fax|mobile|card|visa|account|iban|ssn|passport)[^\n]{0,30}$"
-NEUTRAL = r"(?i)(version|isbn|page|order|invoice|copyright|\bid\b|uuid|sha|commit|http|www)[^\n]{0,15}$"
+#: Words that stand before personal data, and words that stand before other numbers and keys.
+GAZETTEER = (
+    "token secret password passwd pwd apikey key auth bearer credential credentials login phone telephone tel call fax mobile cell card visa mastercard account iban ssn passport "
+    "passwort kennwort schlüssel telefon handy konto karte ausweis mot passe clé téléphone portable compte carte clave contraseña teléfono móvil cuenta tarjeta pasaporte"
+).split()
+NEUTRAL = (
+    "version isbn issn page order invoice copyright id uuid sha commit http https www doi build release seite bestellung rechnung fassung commande facture página pedido factura versión"
+).split()
 CONTEXT = 40
-LABELERS = 4
+LABELERS, HASHES = 4, 16
+FEATURES = {"size": 4, "shape": 4, "variety": 4, "separators": 3, "before": HASHES}
 
 
 def spans(text: Column, pattern: str, kind: str) -> Column:
@@ -95,7 +107,7 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def voted(text: Column, found: Column) -> Column:
-    """Each candidate with its votes v0..v3 and its length class."""
+    """Each candidate with its votes v0..v3 and its features."""
 
     def vote(s: Column) -> Column:
         m = s["match"]
@@ -106,12 +118,19 @@ def voted(text: Column, found: Column) -> Column:
         yes, no, none = F.lit(1), F.lit(0), F.lit(2)
         pattern = F.when(secret, F.when(m.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/]{32,}={0,2})$"), yes).otherwise(no))
         pattern = pattern.otherwise(F.when(m.rlike(r"^\+|^\([0-9]{2,4}\)|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^(?:[0-9]{4}[\x20-]?){3,4}[0-9]{0,4}$"), yes).otherwise(none))
-        cue = F.when(before.rlike(CUES), yes).when(before.rlike(NEUTRAL), no).otherwise(none)
+        near = F.split(F.lower(before), r"[^\p{L}]+")
+        named = lambda words: F.arrays_overlap(near, F.array(*[F.lit(w) for w in words]))
+        cue = F.when(named(GAZETTEER), yes).when(named(NEUTRAL), no).otherwise(none)
         around = F.when(before.rlike(r"[=:]\x20?[\"']?$"), yes).when(after.isin('"', "'"), yes).when(before.rlike(r"[\p{L}/]$"), no).otherwise(none)
         share = digits / F.char_length(m)
         made = F.when(secret, F.when(share.between(0.25, 0.9), yes).otherwise(no)).otherwise(F.when(digits.between(9, 19), yes).otherwise(no))
-        size = F.least(F.lit(3), F.floor(F.char_length(m) / 12)).cast("int")
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), pattern.alias("v0"), cue.alias("v1"), around.alias("v2"), made.alias("v3"), size.alias("size"))
+        size = F.least(F.lit(3), F.floor(F.char_length(m) / 12))
+        shape = F.when(~m.rlike(r"[A-Za-z]"), 0).when(~m.rlike("[A-Z]"), 1).when(~m.rlike("[a-z]"), 2).otherwise(3)
+        variety = F.least(F.lit(3), F.floor(4 * F.size(F.array_distinct(F.split(m, ""))) / F.least(F.char_length(m), F.lit(24))))
+        separators = F.least(F.lit(2), F.char_length(F.regexp_replace(m, "[A-Za-z0-9]", "")))
+        word = F.regexp_extract(F.lower(before), r"([\p{L}]+)[^\p{L}]*$", 1)
+        features = [F.coalesce(x, F.lit(0)).cast("int").alias(k) for k, x in zip(FEATURES, (size, shape, variety, separators, F.pmod(F.xxhash64(word), F.lit(HASHES))), strict=True)]
+        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), pattern.alias("v0"), cue.alias("v1"), around.alias("v2"), made.alias("v3"), *features)
 
     return F.transform(found, vote)
 
@@ -142,31 +161,34 @@ def posterior(votes: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def encoded(votes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.column_stack([*[(votes[:, k] == v).astype(float) for k in range(votes.shape[1]) for v in (0, 1)], *[(size == s).astype(float) for s in (1, 2, 3)]])
+def encoded(features: np.ndarray) -> np.ndarray:
+    """A column for each value of each feature but the first."""
+    return np.column_stack([(features[:, k] == v).astype(float) for k, n in enumerate(FEATURES.values()) for v in range(1, n)])
 
 
-def train(counts: list[tuple]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per kind: intercept, weight of each vote [labeler, vote] and of each length class, from (rank, v0..v3, size, n)."""
+def train(counts: list[tuple]) -> dict[int, tuple[float, list[list[float]]]]:
+    """Per kind: intercept and a weight for each value of each feature, from (rank, v0..v3, features, n)."""
     models = {}
     for rank in sorted({r[0] for r in counts}):
-        own = [r for r in counts if r[0] == rank]
-        votes, size, n = np.array([r[1 : 1 + LABELERS] for r in own]), np.array([r[1 + LABELERS] for r in own]), np.array([r[-1] for r in own], float)
+        own = np.array([r[1:] for r in counts if r[0] == rank], np.int64)
+        votes, features, n = own[:, :LABELERS], own[:, LABELERS:-1], own[:, -1].astype(float)
         prior, table = reliabilities([(tuple(v), c) for v, c in zip(votes.tolist(), n, strict=True)])
-        b = logistic(encoded(votes, size), posterior(votes, prior, table), n, ridge=1.0)
-        by_vote = np.zeros((LABELERS, 3))
-        by_vote[:, :2] = b[1 : 1 + 2 * LABELERS].reshape(LABELERS, 2)
-        models[rank] = (float(b[0]), by_vote, np.append(0.0, b[1 + 2 * LABELERS :]))
+        b = logistic(encoded(features), posterior(votes, prior, table), n, ridge=1.0)
+        weights, at = [], 1
+        for size in FEATURES.values():
+            weights.append([0.0, *b[at : at + size - 1].tolist()])
+            at += size - 1
+        models[rank] = (float(b[0]), weights)
     return models
 
 
 def accepted(s: Column, models: dict) -> Column:
     """Whether the trained classifier takes a candidate."""
     out = F.lit(False)
-    for rank, (b, by_vote, by_size) in models.items():
-        z = F.lit(b) + F.get(F.array(*[F.lit(float(x)) for x in by_size]), s["size"])
-        for k, v in enumerate(VOTES):
-            z = z + F.get(F.array(*[F.lit(float(x)) for x in by_vote[k]]), s[v])
+    for rank, (b, weights) in models.items():
+        z = F.lit(b)
+        for name, by_value in zip(FEATURES, weights, strict=True):
+            z = z + F.get(F.array(*[F.lit(x) for x in by_value]), s[name])
         out = F.when(s["rank"] == rank, z >= 0).otherwise(out)
     return out
 
@@ -175,12 +197,12 @@ def detect(docs: DataFrame) -> DataFrame:
     """doc_id, base and added: arrays of struct(start, rank, end)."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     based = text.select("doc_id", "t", base_spans(F.col("t")).alias("base"))
-    with_votes = lambda x: x.select("doc_id", "base", voted(F.col("t"), F.col("c")).alias("voted"))
-    found = with_votes(based.select("doc_id", "t", "base", candidates(F.col("t"), F.col("base")).alias("c")))
-    counts = found.select(F.explode("voted").alias("s")).select("s.rank", *[f"s.{v}" for v in VOTES], "s.size").groupBy("rank", *VOTES, "size").count()
-    models = train([tuple(r) for r in counts.collect()])
     plain = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
-    return found.select("doc_id", F.transform("base", plain).alias("base"), F.transform(F.filter("voted", lambda s: accepted(s, models)), plain).alias("added"))
+    each = based.select("doc_id", "t", "base", candidates(F.col("t"), F.col("base")).alias("c"))
+    found = written(each.select("doc_id", F.transform("base", plain).alias("base"), voted(F.col("t"), F.col("c")).alias("voted")), "pii-candidates")
+    counts = found.select(F.explode("voted").alias("s")).select("s.rank", *[f"s.{v}" for v in VOTES], *[f"s.{f}" for f in FEATURES]).groupBy("rank", *VOTES, *FEATURES).count()
+    models = train([tuple(r) for r in counts.collect()])
+    return found.select("doc_id", "base", F.transform(F.filter("voted", lambda s: accepted(s, models)), plain).alias("added"))
 
 
 def joined(found: Column) -> Column:
@@ -188,7 +210,20 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def base_counts() -> list[Column]:
+    """n_email, n_ip, n_card, n_phone and base_sha256 from the column base."""
+    number = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return [*[number(k) for k in KINDS[:4]], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256")]
+
+
+def base_summary(docs: DataFrame) -> DataFrame:
+    """The base kinds alone."""
+    found = docs.select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    return found.select("doc_id", *base_counts())
+
+
 def summary(docs: DataFrame) -> DataFrame:
     found = detect(docs)
-    number = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[number(k) for k in KINDS[:4]], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    added = lambda k: F.size(F.filter("added", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    every = F.size("base") + F.size("added")
+    return found.select("doc_id", *base_counts(), joined(F.concat("base", "added")).alias("spans"), *[added(k) for k in KINDS[4:]], every.cast("long").alias("n_found"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from splitfold.llm import chunkdedup, embed_dedup, langid, linededup, minhash, mixing, packing, pii, quality, toxicity
 from splitfold.llm.common import documents, fold
+from splitfold.llm.oracles import SQL
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(documents(spark, sf_dir))
 
 
+def op6_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_pii that SQL can say."""
+    return pii.base_summary(documents(spark, sf_dir))
+
+
+def op7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7_mixing that SQL can say."""
+    return mixing.targets(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,8 +69,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_minhash_dedup, op2_line_dedup, op3_quality_rules, op4_chunk_dedup, op5_embedding_dedup, op6_pii, op7_mixing, op8_packing, op9_toxicity, op10_language_id]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in [*found, op6_base_spans, op7_targets]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

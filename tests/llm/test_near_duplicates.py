@@ -196,6 +196,53 @@ def test_chunks_seen_apart_are_no_passage(make, text_of):
     assert rows[2]["kept_text"] == "" and len(rows[3]["spans"]) == 1 and len(rows[3]["kept_text"]) < 150
 
 
+def repeats_by_definition(texts):
+    """Spans of repeated passages: chunks of windows that an earlier place holds, for texts of ASCII."""
+    windows = []
+    for doc, text in enumerate(texts):
+        raw = (text or "").encode()
+        ends, h = [], 0
+        for i, b in enumerate(raw):
+            h = (2 * h + int(chunkdedup.GEAR[b])) % (1 << chunkdedup.BITS)
+            last = ends[-1] if ends else 0
+            if h == 0 or i + 1 == len(raw) or i + 1 - last == chunkdedup.MAX_CHUNK:
+                ends.append(i + 1)
+        starts = [0, *ends[:-1]]
+        for i in range(len(ends)):
+            after = [j for j in range(i, len(ends)) if ends[j] - starts[i] >= chunkdedup.MIN_CHARS][:1]
+            before = [j for j in range(i + 1) if ends[i] - starts[j] >= chunkdedup.MIN_CHARS][-1:]
+            windows += [(doc, i, j, starts[i], ends[j], raw[starts[i] : ends[j]]) for j in after] + [(doc, j, i, starts[j], ends[i], raw[starts[j] : ends[i]]) for j in before]
+    first, gone = {}, {}
+    for doc, i, j, a, b, raw in sorted(windows):
+        if first.setdefault(raw, (doc, i, j)) != (doc, i, j):
+            gone.setdefault(doc, set()).update(range(a, b))
+    spans = {}
+    for doc, at in gone.items():
+        edge = sorted(x for x in at if x - 1 not in at)
+        spans[doc] = [(a, next(x for x in range(a, len(texts[doc]) + 1) if x not in at)) for a in edge]
+    return spans
+
+
+def test_chunks_against_the_definition(make, text_of):
+    rnd, passages = random.Random(3), [text_of(k, 70) for k in range(4)]
+    texts = [None, "", "short"]
+    for k in range(40):
+        parts = [text_of(1000 + 3 * k + i, rnd.randrange(5, 60)) for i in range(3)]
+        texts.append(" ".join([parts[0], rnd.choice(passages), parts[1], rnd.choice(passages)[rnd.randrange(200) :], parts[2]]))
+    texts += [texts[5], texts[5], "q" * 9000, "x" + "q" * 9000]
+    want = repeats_by_definition(texts)
+    rows = chunkdedup.passages(make(texts, parts=5), ["doc_id"]).collect()
+    assert len(want) > 30 and {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows if r["spans"]} == want
+
+
+def test_chunks_of_repeated_ids_and_empty_tables(spark, text_of):
+    x = text_of(1, 90)
+    docs = spark.createDataFrame([(1, x), (1, x), (2, x), (None, x), (None, None)], "doc_id long, text string").repartition(3)
+    rows = chunkdedup.dedup_summary(docs).collect()
+    assert len(rows) == 5 and sum(r["removed_chars"] == 0 for r in rows) >= 1
+    assert chunkdedup.dedup_summary(docs.limit(0)).count() == 0
+
+
 def test_chunk_ends_move_little():
     rnd = np.random.default_rng(4)
     data = rnd.integers(97, 123, 5000).astype(np.uint8)

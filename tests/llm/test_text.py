@@ -79,6 +79,15 @@ def test_pii_adds_secrets(make, text_of):
     assert pii.summary(make(["x"]).limit(0)).count() == 0
 
 
+def test_pii_classifier_looks_at_features(make, text_of):
+    key = lambda k: hashlib.sha256(str(k).encode()).hexdigest()[:40]
+    texts = [f'{text_of(k, 20)} token = "{key(k)}" {text_of(k + 50, 9)}' for k in range(40)] + [f"{text_of(k, 20)} version {'12345678' * 3}a {text_of(k + 9, 9)}" for k in range(40)]
+    rows = {r["doc_id"]: r for r in pii.summary(make(texts)).collect()}
+    assert all(rows[k]["n_secret"] == 1 and rows[k]["n_found"] >= 1 for k in range(40)) and sum(rows[40 + k]["n_secret"] for k in range(40)) == 0
+    docs = make(["mail a@b.com", None, "+1 (202) 555-0147"])
+    assert [(r["n_email"], r["n_phone"]) for r in pii.base_summary(docs).orderBy("doc_id").collect()] == [(1, 0), (0, 0), (0, 1)]
+
+
 def test_em_finds_the_good_labeler():
     rnd = np.random.default_rng(2)
     truth = rnd.random(4000) < 0.4
@@ -388,3 +397,35 @@ def test_pipeline_stages(spark, make, text_of, awkward):
     assert set(range(40)) <= ids["language_id"] and set(range(40)) <= ids["minhash_dedup"]
     assert 40 not in ids["minhash_dedup"] and ids["packing"] == ids["mixing"] <= ids["minhash_dedup"] <= ids["line_dedup"] <= ids["language_id"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_dedup", "mixing", "packing"]
+
+
+def test_empty_tables_and_repeated_ids(spark, text_of):
+    docs = spark.createDataFrame([(1, text_of(1, 50), "en", "a"), (1, text_of(2, 50), "en", "a"), (None, None, None, None), (None, "x", "en", "b")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, toxic int")
+    none, model = docs.limit(0), toxicity.fit(docs, labels)
+    assert quality.assess(none).count() == 0 and quality.assess(docs).count() == 4
+    assert toxicity.score(none, model, ["doc_id"]).count() == 0 and toxicity.score(docs, model, ["doc_id"]).count() == 4
+    assert toxicity.fit(none, labels) is None and langid.fit(none) is None
+    assert langid.identify(docs, langid.fit(docs), ["doc_id"]).count() == 4 and langid.accepted(none, None).count() == 0
+    assert pii.summary(docs).count() == 4 and packing.pack(docs).select("doc_id").distinct().count() == 2
+
+
+def test_pipeline_of_nothing(spark, make):
+    import corpus_pipeline
+
+    docs = make(["x"]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
+
+
+def test_pipeline_of_null_and_repeated_ids(spark, text_of):
+    import corpus_pipeline
+
+    rows = [(None, text_of(1, 80), "en", "a"), (None, text_of(1, 80), "en", "a"), (1, text_of(2, 80), "en", "a"), (1, text_of(3, 80), None, None), (2, None, "en", "b"), (3, "", "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        if name == "minhash_dedup":
+            assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == sorted([(0, text_of(1, 80)), (1, text_of(2, 80)), (1, text_of(3, 80))])
+    assert docs.count() >= 2
