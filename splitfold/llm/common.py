@@ -62,25 +62,24 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def by_key(rows: DataFrame, key: str, columns: list[str], body: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """body(table of one key) for each value of a long column; a key's rows lie together in one task."""
+def by_keys(rows: DataFrame, key: str, columns: list[str], body: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, held_rows: int) -> DataFrame:
+    """body(table of whole keys, about held_rows rows or one key) over the rows by a long column; a key's rows lie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in filter(len, batches):
-            value = batch.column(0).to_numpy()
-            if held and held[-1].column(0)[-1].as_py() != value[0]:
+            held.append(batch)
+            change = np.flatnonzero(np.diff(batch.column(0).to_numpy()))
+            before = len(held) > 1 and held[-2].column(0)[-1].as_py() != batch.column(0)[0].as_py()
+            if sum(map(len, held)) >= held_rows and (len(change) or before):
+                cut = int(change[-1]) + 1 if len(change) else 0  # all but the last key are whole
+                held[-1] = batch.slice(0, cut)
                 yield from body(pa.Table.from_batches(held))
-                held = []
-            cuts = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                held.append(batch.slice(a, b - a))
-                if b < len(value):
-                    yield from body(pa.Table.from_batches(held))
-                    held = []
+                held = [batch.slice(cut)]
         if held:
             yield from body(pa.Table.from_batches(held))
 
+    # one sort column of whole numbers is sorted by its digits
     return rows.select(key, *columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 

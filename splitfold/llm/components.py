@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import written
+from splitfold.llm.common import dropped, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,8 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, e = e, written(small.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        dropped(before, least, large, lowest)
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)

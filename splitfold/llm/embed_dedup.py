@@ -33,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from splitfold.llm.common import by_key, dropped, written
+from splitfold.llm.common import by_keys, dropped, written
 from splitfold.llm.components import components
+from splitfold.llm.wordhash import mixed
 
 COSINE, SEED, BLOCK, IN_BUCKET, PAIRS = 0.98, 11, 1024, 16, 1 << 17
+#: Rows of small lists multiplied at a time, and rows of whole lists taken up at a time.
+SMALL, HELD = 256, 8192
 #: Cosines this near to the limit are computed once more, pair by pair.
 CLOSE = 1e-12
 
@@ -129,58 +132,81 @@ def coded(vectors: DataFrame, rotations: dict[int, int]) -> DataFrame:
     return vectors.mapInArrow(run, schema)
 
 
-def linked_in(x: np.ndarray, codes: np.ndarray, own: np.ndarray, part: np.ndarray, copies: np.ndarray, bucket: tuple[int, int], cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a block: how many vectors it links to in this bucket and in none before, and the least row it reaches."""
+def linked_in(x: np.ndarray, codes: np.ndarray, lists: np.ndarray, table: np.ndarray, bucket: np.ndarray, part: np.ndarray, copies: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: how many vectors it links to in its list's bucket and in none before, and the least row it reaches there."""
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     near = unit @ unit.T
     linked = near >= cosine
     for i, j in zip(*np.nonzero(np.triu(np.abs(near - cosine) < CLOSE, 1)), strict=True):
         linked[i, j] = linked[j, i] = x[i] @ x[j] / (np.sqrt(x[i] @ x[i]) * np.sqrt(x[j] @ x[j])) >= cosine
     np.fill_diagonal(linked, False)
-    linked &= own[:, None] | own[None, :]
+    own = codes[np.arange(len(x)), table, 0] == bucket
+    linked &= (own[:, None] | own[None, :]) & (lists[:, None] == lists[None, :])
     if (part >= 0).any():
-        linked &= part[:, None] != part[None, :]
+        linked &= (part[:, None] != part[None, :]) | (part[:, None] < 0)
     count = np.zeros(len(x), np.int64)
     left, right = np.nonzero(np.triu(linked))
+    none = np.iinfo(np.int64).max
     for at in range(0, len(left), PAIRS):
         a, b = left[at : at + PAIRS], right[at : at + PAIRS]
-        none = np.iinfo(np.int64).max
         first, where = np.full(len(a), none), np.full(len(a), -1)
-        for t in range(bucket[0] + 1):
+        for t in range(int(table[a].max()) + 1):
             open_ = np.flatnonzero(where < 0)
             p, q = codes[a[open_], t], codes[b[open_], t]
             met = np.minimum(np.where((q == p[:, :1]).any(axis=1), p[:, 0], none), np.where((p == q[:, :1]).any(axis=1), q[:, 0], none))
             found = met < none
             first[open_[found]], where[open_[found]] = met[found], t
-        counts = (where == bucket[0]) & (first == bucket[1])
+        counts = (where == table[a]) & (first == bucket[a])
         count += np.bincount(a[counts], copies[b[counts]], len(x)).astype(np.int64) + np.bincount(b[counts], copies[a[counts]], len(x)).astype(np.int64)
     least, todo = np.arange(len(x)), linked.any(axis=1)
-    for i in range(len(x)):
+    for i in np.flatnonzero(todo).tolist():
         if todo[i]:
-            todo[i], reached = False, [i]
+            todo[i], reached = False, np.array([i])
             while len(reached):
                 reached = np.flatnonzero(linked[reached].any(axis=0) & todo)
                 todo[reached], least[reached] = False, i
     return count, least
 
 
+def runs(lists: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole lists with at most so many rows, or of one list."""
+    edges = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+    first = 0
+    for at, to in zip(edges, edges[1:], strict=False):
+        if to - first > most and at > first:
+            yield first, at
+            first = at
+    if first < len(lists):
+        yield first, len(lists)
+
+
 def block_links(rows: DataFrame, cosine: float) -> DataFrame:
-    """(rep, root, near) of the vectors with a link in a pair of blocks."""
+    """(rep, root, near) of the vectors with a link in a pair of blocks. Small lists are multiplied several at a time."""
 
     def body(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        group, table, bucket, part, rep, copies = (t.column(c).to_numpy() for c in ("group", "table", "bucket", "part", "rep", "copies"))
-        vecs, codes = vectors_of(t.column("embedding").combine_chunks()), t.column("codes").to_pylist()
-        kinds = np.stack([group, table, bucket])
-        for kind in np.unique(kinds, axis=1).T:  # one, but for lists whose hashes are equal
-            own = np.flatnonzero((kinds == kind[:, None]).all(axis=0))
-            own = own[np.argsort(rep[own])]
-            x = np.array([vecs[i] for i in own])
-            tables = np.array([codes[i] for i in own]).reshape(len(own), -1, int(t.column("probes")[0].as_py()))
-            near, least = linked_in(x, tables, tables[:, kind[1], 0] == kind[2], part[own], copies[own], (int(kind[1]), int(kind[2])), cosine)
-            held = np.flatnonzero((near > 0) | (least < np.arange(len(own))))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[own[held]]), pa.array(rep[own[least[held]]]), pa.array(near[held])], names=["rep", "root", "near"])
-
-    return by_key(rows, "list", ["group", "table", "bucket", "part", "rep", "copies", "probes", "embedding", "codes"], body, "rep long, root long, near long")
+        size = t.column("embedding").combine_chunks().value_lengths().to_numpy()
+        lists, group, table, bucket, part, rep, copies = (t.column(c).to_numpy() for c in ("list", "group", "table", "bucket", "part", "rep", "copies"))
+        vecs, codes = vectors_of(t.column("embedding").combine_chunks()), t.column("codes").combine_chunks()
+        at, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
+        probes = t.column("probes").to_numpy()
+        out: list[list[np.ndarray]] = [[], [], []]
+        for d in np.unique(size).tolist():
+            rows = np.flatnonzero(size == d)
+            # lists whose hashes are equal are told apart by what was hashed
+            kind = lists[rows] ^ mixed((group[rows] ^ bucket[rows] * 64 ^ table[rows]).view(np.uint64)).view(np.int64)
+            rows = rows[np.lexsort((rep[rows], kind, lists[rows]))]
+            kind = lists[rows] ^ mixed((group[rows] ^ bucket[rows] * 64 ^ table[rows]).view(np.uint64)).view(np.int64)
+            for i, j in runs(kind, SMALL):
+                own = rows[i:j]
+                tables = np.array([flat[at[k] : at[k + 1]] for k in own]).reshape(len(own), -1, int(probes[own[0]]))
+                near, least = linked_in(np.array([vecs[k] for k in own]), tables, kind[i:j], table[own], bucket[own], part[own], copies[own], cosine)
+                held = np.flatnonzero((near > 0) | (least < np.arange(len(own))))
+                for column, values in zip(out, (rep[own[held]], rep[own[least[held]]], near[held]), strict=True):
+                    column.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], names=["rep", "root", "near"])
+
+    columns = ["group", "table", "bucket", "part", "rep", "copies", "probes", "embedding", "codes"]
+    return by_keys(rows, "list", columns, body, "rep long, root long, near long", HELD)
 
 
 def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:

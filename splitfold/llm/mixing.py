@@ -121,7 +121,8 @@ def pieces(places: DataFrame) -> DataFrame:
 
 def shards(places: DataFrame, sources: DataFrame) -> DataFrame:
     """(shard, place, key, epoch, block, row, from, words): the output, a row for each document's piece in each place."""
-    return slots(sources).join(pieces(places), ["key", "block"])
+    # a source's row holds the number of its slots, so Spark takes their table for as small as the sources' and would send it to all
+    return slots(sources).hint("merge").join(pieces(places), ["key", "block"])
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
