@@ -106,7 +106,8 @@ def nats(n: int, found: list[tuple[int, int, float]], calibration: tuple[float,
 def word_scores(sample: DataFrame) -> tuple[dict[str, float], dict[float, int]]:
     """Scores of the words whose log odds are surely not 0, every other word having -DRIFT; and how many words of the documents
     of label 0 have each score."""
-    words = sample.select("label", F.monotonically_increasing_id().alias("row"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORD), 1)).alias("word"))
+    rows = sample.withColumn("row", F.monotonically_increasing_id())  # before the words are rows of their own
+    words = rows.select("label", "row", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORD), 1)).alias("word"))
     each = words.groupBy("row", "label", "word").count()
     counts = each.groupBy("word").agg(F.sum("label").alias("one"), F.sum(1 - F.col("label")).alias("zero"), F.sum((1 - F.col("label")) * F.col("count")).alias("seen"))
     docs = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
