@@ -10,7 +10,8 @@ earlier place holds as it is, and each sequence of chunks that repeats and has `
 shorter ones, which any two texts may share, stay.
 
 The digests are counted by partial aggregation, so a passage that a third of all documents hold is one row from each
-task, and go back to the windows by a join that splits large partitions. Only digests seen twice take part.
+task, and go back to the windows by a join that splits large partitions. Only windows whose digest was seen twice get a
+first place, by the same two steps.
 
 Digests of 64 bits tell windows apart: among 10^12 of them some thousands would be taken for one another.
 
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from splitfold.llm.common import written
+from splitfold.llm.common import dropped, written
 
-BITS, MAX_CHUNK, MIN_CHARS, TEXTS = 6, 4096, 100, 500
+BITS, MAX_CHUNK, MIN_CHARS, TEXTS = 5, 1024, 100, 500
 #: One pseudorandom number for each byte value, from a rule.
 GEAR = np.random.default_rng(20240501).integers(0, 1 << BITS, 256, dtype=np.uint8)
 
@@ -87,10 +88,11 @@ def chunk_windows(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated): for each document with any, first and last chunk of its windows that an earlier place holds."""
     windows = written(chunk_windows(docs), "chunks")
+    twice = written(windows.groupBy("digest").count().where("count > 1").select("digest"), "chunk-digests")
+    again = written(windows.join(twice, "digest"), "chunk-repeats")
+    dropped(windows, twice)
     place = F.struct("doc_id", "first", "last")
-    # the least and the greatest place differ exactly where there are two places
-    seen = written(windows.groupBy("digest").agg(F.min(place).alias("least"), F.max(place).alias("greatest")).where("least != greatest").select("digest", "least"), "chunk-firsts")
-    later = windows.join(seen, "digest").where(place > F.col("least"))
+    later = again.join(again.groupBy("digest").agg(F.min(place).alias("least")), "digest").where(place > F.col("least"))
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("repeated"))
 
 
