@@ -48,9 +48,9 @@ def prefixes(stamp: Column, with_self: bool = True) -> Column:
 
 
 def below(jobs: DataFrame, roots: DataFrame, with_self: bool = True) -> DataFrame:
-    """The jobs under any of the roots (column path)."""
-    hit = jobs.select("path", F.explode(prefixes(F.col("stamp"), with_self)).alias("ancestor")).join(roots.select(F.col("path").alias("ancestor")).distinct(), "ancestor", "left_semi")
-    return jobs.join(hit.select("path").distinct(), "path", "left_semi")
+    """The jobs under any of the roots (column path), each once; paths are unique."""
+    up = jobs.withColumn("ancestor", F.explode(prefixes(F.col("stamp"), with_self)))
+    return up.join(roots.select(F.col("path").alias("ancestor")), "ancestor", "left_semi").dropDuplicates(["path"]).select(*jobs.columns)
 
 
 def marked(jobs: DataFrame, root: Column, with_self: bool = True) -> DataFrame:
