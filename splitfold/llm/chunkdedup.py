@@ -92,7 +92,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     again = written(windows.join(twice, "digest"), "chunk-repeats")
     dropped(windows, twice)
     place = F.struct("doc_id", "first", "last")
-    later = again.join(again.groupBy("digest").agg(F.min(place).alias("least")), "digest").where(place > F.col("least"))
+    # written, so that the join below has no aggregate in its stage and Spark splits the partition of a hot digest
+    firsts = written(again.groupBy("digest").agg(F.min(place).alias("least")), "chunk-firsts")
+    later = again.join(firsts, "digest").where(place > F.col("least"))
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("repeated"))
 
 
